@@ -1,44 +1,44 @@
-"""Best-effort typing of text cells: unparsable dates become NULL, numbers zero."""
+"""Best-effort typing of text cells. Each parser gives NULL for what it cannot read."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Date forms tried after the ISO form, in this order.
-TIMESTAMP_FORMATS = (
-    "yyyy-MM-dd HH:mm",
-    "yyyy/MM/dd HH:mm:ss",
-    "yyyy/MM/dd",
-    "yyyyMMddHHmmss",
-    "MM/dd/yyyy HH:mm:ss",
-    "dd-MMM-yyyy HH:mm:ss",
-    "EEE, dd MMM yyyy HH:mm:ss Z",
+# Spellings rewritten to the ISO form: (what the text looks like, its rewriting).
+_TO_ISO = (
+    (r"^(\d{4})/(\d{1,2})/(\d{1,2})(.*)$", "$1-$2-$3$4"),
+    (r"^(\d{1,2})/(\d{1,2})/(\d{4})(.*)$", "$3-$1-$2$4"),
+    (r"^(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2})$", "$1-$2-$3 $4:$5:$6"),
+    (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
+    (r"^[A-Za-z]{3}, (.*)$", "$1"),
 )
+# Forms with a month name.
+_NAMED_MONTH = ("dd MMM yyyy HH:mm:ss[ Z]", "dd-MMM-yyyy HH:mm:ss[ Z]")
 
 
 def best_effort_timestamp(text: Column) -> Column:
-    """ISO forms, epoch seconds or milliseconds, then the listed formats, else NULL."""
-    cell = F.nullif(F.trim(text), F.lit(""))
-    seconds = F.when(cell.rlike(r"^[0-9]{9,10}$"), F.timestamp_seconds(cell.try_cast("long")))
-    millis = F.when(cell.rlike(r"^[0-9]{13}$"), F.timestamp_millis(cell.try_cast("long")))
-    # A bare run of digits is never an ISO date here (Spark would read a year).
-    iso = F.when(~cell.rlike(r"^[0-9]+$"), F.try_to_timestamp(cell))
-    tried = [F.try_to_timestamp(cell, F.lit(f)) for f in TIMESTAMP_FORMATS]
-    return F.coalesce(iso, seconds, millis, *tried)
-
-
-def uint_or_zero(text: Column, bits: int) -> Column:
-    """Unsigned integer of the given width; anything else, signs and overflow included, is 0."""
-    value = F.when(text.rlike(r"^[0-9]+$"), text.try_cast("long"))
-    kept = F.when(value < (1 << bits), value)
-    return F.coalesce(kept, F.lit(0)).cast("int" if bits < 32 else "long")
-
-
-def float_or_zero(text: Column) -> Column:
-    return F.coalesce(text.try_cast("double"), F.lit(0.0))
-
-
-def unparsable(text: Column, parsed_ok: Column) -> Column:
-    """A non-empty cell that did not parse."""
-    return (F.coalesce(F.trim(text), F.lit("")) != "") & ~F.coalesce(parsed_ok, F.lit(False))
+    """ISO forms first, then epoch seconds or milliseconds, other date orders, month names."""
+    cell = F.trim(text)
+    digits = cell.rlike(r"^\d+$")
+    # A bare run of digits is an epoch or a packed date, never a year.
+    iso = F.when(~digits, F.try_to_timestamp(cell))
+    epoch = F.when(digits & F.length(cell).between(9, 10), F.timestamp_seconds(cell.try_cast("long"))).when(
+        digits & (F.length(cell) == 13), F.timestamp_millis(cell.try_cast("long"))
+    )
+    rewritten = cell
+    for look, form in _TO_ISO:
+        rewritten = F.regexp_replace(rewritten, look, form)
+    other = F.when(~rewritten.rlike(r"^\d+$"), F.try_to_timestamp(rewritten))
+    named = [F.try_to_timestamp(rewritten, F.lit(f)) for f in _NAMED_MONTH]
+    return F.coalesce(iso, epoch, other, *named)
+
+
+def best_effort_uint(text: Column, bits: int) -> Column:
+    """Unsigned integer of the given width; signs, fractions and overflow do not count."""
+    value = F.when(text.rlike(r"^\d+$"), text.try_cast("long"))
+    return F.when(value < (1 << bits), value).cast("int" if bits < 32 else "long")
+
+
+def best_effort_float(text: Column) -> Column:
+    return text.try_cast("double")

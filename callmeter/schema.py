@@ -76,7 +76,8 @@ QUALITY = {
 
 # What a source file may carry; everything else in a file is ignored.
 SOURCE_COLUMNS = {**CALL, **ORIGINATION, **TERMINATION, **QUALITY}
-RECORD_COLUMNS = {**PROVENANCE, **SOURCE_COLUMNS}
+# ``bad_cells`` counts the cells of a row that did not parse.
+RECORD_COLUMNS = {**PROVENANCE, **SOURCE_COLUMNS, "bad_cells": _INT}
 
 # Columns without which a source file is refused.
 REQUIRED_HEADERS = ("sip_code", "call_start_time", "call_end_time", "term_media_ip")

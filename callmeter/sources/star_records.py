@@ -94,8 +94,11 @@ def _render(expr: str, string_type: str, timestamp: str) -> str:
     return re.sub(r"\bTS\((\w+)\)", timestamp, expr)
 
 
-def star_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The projection as a Spark DataFrame; join strategies are left to Catalyst."""
+def star_records(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
+    """The projection as a Spark DataFrame; join strategies are left to Catalyst.
+
+    ``lineitem`` may be a stream; the other tables are then static join sides.
+    """
 
     def table(name: str, alias: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet").alias(alias)
@@ -105,7 +108,7 @@ def star_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         table("customer", "c"), F.col("o.o_custkey") == F.col("c.c_custkey")
     )
     joined = (
-        table("lineitem", "l")
+        (table("lineitem", "l") if lineitem is None else lineitem.alias("l"))
         .join(orders, F.col("l.l_orderkey") == F.col("o.o_orderkey"))
         .join(table("supplier", "s"), F.col("l.l_suppkey") == F.col("s.s_suppkey"))
     )

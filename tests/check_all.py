@@ -15,7 +15,7 @@ import __spark_entry__ as entry  # noqa: E402
 
 def main(sf_dir: str, names: list[str]) -> int:
     spark = (
-        SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
+        SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g")
         .getOrCreate()
     )
