@@ -13,6 +13,7 @@ def spark():
     session = (
         SparkSession.builder.master("local[4]").appName("callmeter-tests")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
