@@ -34,14 +34,23 @@ def spelled_out(traffic: DataFrame, watchlist: DataFrame, column: str = "term_me
     return plain.unionByName(alias.select("spelling", "termination_media_ip")).distinct()
 
 
-def watched_only(traffic: DataFrame, watchlist: DataFrame, column: str = "term_media_ip") -> DataFrame:
-    """Rows whose trimmed media address is on the list (semi join, checked broadcast)."""
+def watched_only(
+    traffic: DataFrame, watchlist: DataFrame, column: str = "term_media_ip", any_spelling: bool = False
+) -> DataFrame:
+    """Rows whose trimmed media address is on the list (checked broadcast).
+
+    With ``any_spelling`` other spellings of a listed version-6 address count too.
+    """
+    if any_spelling:
+        # One row per spelling, so the join cannot repeat a row.
+        spellings = broadcast_if_small(spelled_out(traffic, watchlist, column))
+        return traffic.withColumn("spelling", F.trim(column)).join(spellings, "spelling").drop("spelling")
     listed = watchlist.select("termination_media_ip").distinct()
     named = traffic.withColumn("termination_media_ip", F.trim(column))
     return named.join(broadcast_if_small(listed), "termination_media_ip", "left_semi")
 
 
-def watch_hits(media_rollup: DataFrame, watchlist: DataFrame) -> DataFrame:
+def watch_hits(media_rollup: DataFrame, watchlist: DataFrame, any_spelling: bool = False) -> DataFrame:
     """Matching calls per hour and route, from the media rollup.
 
     On a stored rollup the source partition stays a key, so a reloaded source
@@ -49,7 +58,7 @@ def watch_hits(media_rollup: DataFrame, watchlist: DataFrame) -> DataFrame:
     """
     source = [p for p in PARTITIONS if p in media_rollup.columns and p != "entity"]
     return (
-        watched_only(media_rollup, watchlist)
+        watched_only(media_rollup, watchlist, any_spelling=any_spelling)
         .groupBy(*HIT_KEYS, *source)
         .agg(F.sum("attempts").alias("matching_cdrs"))
     )

@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 from callmeter.functions import metrics
 from callmeter.params import PanelFilter, report_params, with_hour_preset, with_table_preset
 from callmeter.plans import detail, reports, rollups, snapshots, watchlist
-from callmeter.runtime import pin_utc
+from callmeter.runtime import pin_utc, written
 from callmeter.schema import WATCHLIST_SCHEMA
 from callmeter.sources.star_records import (
     FIRST_DAY, LAST_DAY, STAR_AREA_CODES, STAR_ENTITIES, WATCHED,
-    star_area_codes, star_records, star_records_sql,
+    read_table, star_area_codes, star_records, star_records_sql,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -324,6 +324,11 @@ def _reasons(spark, sf):
     return rollups.reason_rollup(star_records(spark, sf))
 
 
+def _stored_reasons(spark, sf):
+    """The rollup as the table it is in use: readers scan it more than once."""
+    return written(_reasons(spark, sf), "reasons")
+
+
 def _panel(sql: str, table: str) -> str:
     return f"WITH {CDR}, {table} {sql}"
 
@@ -403,7 +408,7 @@ ORDER BY attempts DESC, 1,2,3,4 LIMIT {limit}"""
 
 @query("sip_reason_grid", f"WITH {CDR}, {_REASON_SQL}, {_grid_sql('true', 5000)}")
 def _(spark, sf):
-    return rollups.reason_grid(_reasons(spark, sf))
+    return rollups.reason_grid(_stored_reasons(spark, sf))
 
 
 _GAP_HOUR = "entity = 'E3' AND hour BETWEEN TIMESTAMP '2024-01-03 00:00:00' AND TIMESTAMP '2024-01-03 03:00:00'"
@@ -413,7 +418,7 @@ _GAP_HOUR = "entity = 'E3' AND hour BETWEEN TIMESTAMP '2024-01-03 00:00:00' AND
 def _(spark, sf):
     """A narrow window, where many trunk and state pairs have no traffic."""
     flt = PanelFilter(start=datetime(2024, 1, 3), end=datetime(2024, 1, 3, 3), entity="E3")
-    return rollups.reason_grid(_reasons(spark, sf), flt, limit=None)
+    return rollups.reason_grid(_stored_reasons(spark, sf), flt, limit=None)
 
 
 @query("sip_reason_share", f"""WITH {CDR}, {_REASON_SQL}
@@ -422,7 +427,7 @@ sip_code::VARCHAR || ' - ' || reason AS sip_reason, sum(attempts)::BIGINT AS att
 round(100.0 * sum(attempts) / sum(sum(attempts)) OVER (PARTITION BY orig_trunk_group_name, term_state), 2)::DOUBLE
 AS pct_of_pair FROM reasons WHERE term_state <> '' AND orig_trunk_group_name <> '(none)' GROUP BY 1,2,3,4""")
 def _(spark, sf):
-    rollup = _reasons(spark, sf)
+    rollup = _stored_reasons(spark, sf)
     return rollups.with_pair_share(rollups.reason_grid_traffic(rollup), rollups.pair_totals(rollup))
 
 
@@ -508,7 +513,7 @@ _IS_IP = "regexp_full_match(candidate, '((25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(\\.
 
 
 def _address_lines(spark, sf):
-    suppliers = spark.read.parquet(f"{sf}/supplier.parquet")
+    suppliers = read_table(spark, sf, "supplier")
     return suppliers.selectExpr(
         "concat(' 203.0.113.', s_suppkey % 300, ' ,bad-', s_suppkey % 7, ';', '10.0.', s_nationkey, '.1') AS line"
     )

@@ -11,6 +11,7 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from callmeter.schema import AREA_CODE_SCHEMA
 
@@ -94,14 +95,25 @@ def _render(expr: str, string_type: str, timestamp: str) -> str:
     return re.sub(r"\bTS\((\w+)\)", timestamp, expr)
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One given table. Its footer is looked at once per process, not per query."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+
+
 def star_records(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
-    """The projection as a Spark DataFrame; join strategies are left to Catalyst.
+    """The projection as a Spark DataFrame; the small joins are left to Catalyst.
 
     ``lineitem`` may be a stream; the other tables are then static join sides.
     """
 
     def table(name: str, alias: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet").alias(alias)
+        return read_table(spark, sf_dir, name).alias(alias)
 
     # The narrow customer join goes first, so the wide records are shuffled once less.
     orders = table("orders", "o").join(
@@ -109,7 +121,9 @@ def star_records(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None =
     )
     joined = (
         (table("lineitem", "l") if lineitem is None else lineitem.alias("l"))
-        .join(orders, F.col("l.l_orderkey") == F.col("o.o_orderkey"))
+        # Both sides are fact tables that grow together: never broadcast one of
+        # them because it happens to be small or its size is misjudged.
+        .hint("merge").join(orders, F.col("l.l_orderkey") == F.col("o.o_orderkey"))
         .join(table("supplier", "s"), F.col("l.l_suppkey") == F.col("s.s_suppkey"))
     )
     base = joined.selectExpr(*[f"{e} AS {n}" for n, e in _BASE.items()])

@@ -53,6 +53,23 @@ def test_snapshot_counts_once_it_is_final(spark, tmp_path):
     assert len(store.roll(date(2026, 1, 13))) == 2 and store.index.count() == 1
 
 
+def test_served_results_are_computed_once(spark, tmp_path):
+    store, calls = SnapshotStore(spark, str(tmp_path)), []
+
+    def compute():
+        calls.append(1)
+        return spark.createDataFrame([("A", float(len(calls)))], "customer string, revenue double")
+
+    params = snapshots.daily_params(TODAY, ("E0",))
+    at = datetime(2026, 1, 10, 12)
+    first, _ = store.serve("r", params, compute, at, "a")
+    again, line = store.serve("r", params, compute, at + timedelta(minutes=6), "b")
+    assert len(calls) == 1 and first.first()["revenue"] == again.first()["revenue"] == 1.0
+    assert (line.first()["tier"], line.first()["stale"]) == ("today", True)
+    renewed, line = store.serve("r", params, compute, at + timedelta(minutes=7), "c", force=True)
+    assert renewed.first()["revenue"] == 2.0 and not line.first()["stale"]
+
+
 def test_due_day_waits_for_the_final_hour():
     assert due_snapshot_day(datetime(2026, 1, 10, 1, 59)) == date(2026, 1, 8)
     assert due_snapshot_day(datetime(2026, 1, 10, 2)) == date(2026, 1, 9)
