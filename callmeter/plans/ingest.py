@@ -100,15 +100,15 @@ def _load(store: CallStore, accepted: DataFrame, now: datetime) -> DataFrame:
     records = with_partitions(typed.where(~F.col("malformed")))
     store.replace_hours("records", records)
 
+    # Counted per fingerprint: an hour without new rows still holds its old ones.
+    fingerprint = ["file_path", "source_size", "source_mtime_ms"]
     kept = (
-        store.read_hours("records", hours).groupBy("file_path").agg(
+        store.read_hours("records", hours).groupBy(*fingerprint).agg(
             F.count(F.lit(1)).alias("rows_ingested"),
             F.count(F.when(F.col("bad_cells") > 0, 1)).alias("bad_cell_rows"),
         )
     )
-    counts = accepted.select("file_path", *_HOUR, "source_size", "source_mtime_ms").join(
-        kept, "file_path", "left"
-    )
+    counts = accepted.select(*fingerprint, *_HOUR).join(kept, fingerprint, "left")
     if _observed(seen, "malformed") != 0:
         # Only then is a second look at the text worth its price. The reader wants
         # a data column next to its marker, hence the length.
