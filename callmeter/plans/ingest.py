@@ -9,9 +9,10 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from callmeter.plans.rollups import media_rollup, reason_rollup
+from callmeter.plans import rollups
 from callmeter.plans.watchlist import watch_hits
-from callmeter.runtime import Folder, pin_utc, written
+from callmeter.runtime import Folder, has_rows_on_disk, pin_utc, written
+from callmeter.schema import PARTITIONS
 from callmeter.sources import landing as src
 from callmeter.sources.landing import Landing
 from callmeter.sources.manifest import already_loaded, decide
@@ -34,8 +35,8 @@ class IngestOptions:
 
 def _hours(df: DataFrame) -> list[tuple]:
     """Distinct source hours of a cycle's file list."""
-    rows = with_partitions(df.select(*_HOUR).distinct()).collect()
-    return sorted((r["entity"], r["file_date"], r["file_hh"]) for r in rows)
+    rows = with_partitions(df.select(*_HOUR)).select(*PARTITIONS).distinct().collect()
+    return sorted(map(tuple, rows))
 
 
 def _stored_counts(store: CallStore, files: DataFrame, latest: DataFrame) -> DataFrame:
@@ -43,22 +44,24 @@ def _stored_counts(store: CallStore, files: DataFrame, latest: DataFrame) -> Dat
     open_files = files.join(
         latest.where(F.col("status").isin("ingesting", "error")), "file_path", "left_semi"
     )
-    return store.read_hours("records", _hours(open_files)).groupBy(*_HOUR).agg(
-        F.count(F.lit(1)).alias("rows")
-    )
+    return rollups.hour_counts(store.read_hours("records", _hours(open_files)))
 
 
 def plan_cycle(store: CallStore, files: DataFrame, on_change: str) -> DataFrame:
     """Action per discovered file, frozen so that later log lines do not change it."""
     latest = store.manifest.latest
-    decided = decide(files, latest, _stored_counts(store, files, latest), on_change)
-    return written(decided, "cycle")
+    if on_change == "flag" and has_rows_on_disk(store.spark, store.manifest.path):
+        counts = _stored_counts(store, files, latest)
+    else:
+        # Replacing runs an interrupted load again, whatever it left behind.
+        counts = store.spark.createDataFrame([], "entity string, file_hour timestamp, rows long")
+    return written(decide(files, latest, counts, on_change), "cycle")
 
 
 def derive_hours(store: CallStore, hours: list[tuple]) -> None:
     """Rebuild the rollups and watch hits of some source hours from the stored records."""
     records = store.read_hours("records", hours)
-    for table, build in (("media", media_rollup), ("reasons", reason_rollup)):
+    for table, build in (("media", rollups.media_rollup), ("reasons", rollups.reason_rollup)):
         store.replace_hours(table, build(records))
     refresh_hits(store, hours)
 
@@ -66,6 +69,8 @@ def derive_hours(store: CallStore, hours: list[tuple]) -> None:
 def refresh_hits(store: CallStore, hours: list[tuple]) -> None:
     """Watch hits of some source hours; hours that lost their last hit are emptied too."""
     store.drop_hours("hits", hours)
+    if not has_rows_on_disk(store.spark, store.path("watchlist")):
+        return
     store.replace_hours("hits", watch_hits(store.read_hours("media", hours), store.watchlist))
 
 
@@ -86,10 +91,9 @@ def _observed(seen: Observation, name: str) -> int | None:
         return None
 
 
-def _load(store: CallStore, accepted: DataFrame, now: datetime) -> DataFrame:
+def _load(store: CallStore, accepted: DataFrame, hours: list[tuple], now: datetime) -> DataFrame:
     """Replace the hours of the accepted files and return the counts per file."""
     spark = store.spark
-    hours = _hours(accepted)
     cells = src.read_headers_apart(spark, accepted)
     seen = Observation()
     typed = src.typed_records(cells, accepted, now).observe(
@@ -139,42 +143,47 @@ def ingest_files(
     manifest = store.manifest
     plan = plan_cycle(store, files, options.on_change)
 
-    wanted = (
-        plan.where("action = 'ingest'").orderBy("file_hour", "entity", "file_path").limit(options.max_files)
-    )
-    # An hour is replaced as a whole, so its other files come along.
-    hours = wanted.select(*_HOUR).distinct()
-    chosen = written(src.with_headers(plan.join(hours, list(_HOUR), "left_semi")), "headers")
-    accepted = chosen.where(F.col("header_error").isNull())
-    refused = chosen.where(F.col("header_error").isNotNull())
+    actions = {r["action"]: r["n"] for r in plan.groupBy("action").agg(F.count("*").alias("n")).collect()}
     base = ["file_path", *_HOUR, "source_size", "source_mtime_ms"]
-
+    if "ingest" in actions:
+        chosen = written(src.with_headers(_chosen(plan, options.max_files)), "headers")
+    else:
+        chosen = plan.where("action = 'ingest'").withColumns({
+            "header": F.lit(None).cast("array<string>"), "header_error": F.lit(None).cast("string"),
+        })
+    accepted = chosen.where(F.col("header_error").isNull())
+    zero = F.lit(0).cast("long")
+    refused = F.col("header_error").isNotNull()
+    opened = chosen.select(
+        *base, zero.alias("rows_ingested"),
+        F.coalesce("header_error", F.lit("validated; load started")).alias("message"),
+        F.when(refused, "error").otherwise("ingesting").alias("status"),
+    )
     settled = plan.where(F.col("action").isin("changed", "recover", "upgrade")).select(
         *base, "rows_ingested", "message",
         F.when(F.col("action") == "changed", "changed").otherwise("done").alias("status"),
     )
-    failed = refused.select(
-        *base, F.lit(0).cast("long").alias("rows_ingested"),
-        F.col("header_error").alias("message"), F.lit("error").alias("status"),
-    )
-    started = accepted.select(
-        *base, F.lit(0).cast("long").alias("rows_ingested"),
-        F.lit("validated; load started").alias("message"), F.lit("ingesting").alias("status"),
-    )
-    manifest.append(settled.unionByName(failed).unionByName(started), now, seq=1)
-    recovered = _hours(plan.where("action = 'recover'"))
-    if recovered:
-        derive_hours(store, recovered)
+    if set(actions) - {"skip"}:
+        manifest.append(settled.unionByName(opened), now, seq=1)
+    if "recover" in actions:
+        derive_hours(store, _hours(plan.where("action = 'recover'")))
 
     done = None
-    if accepted.limit(1).count():
-        done = _load(store, accepted, now)
+    if "ingest" in actions and (hours := _hours(accepted)):
+        done = _load(store, accepted, hours, now)
         manifest.append(
             done.withColumns({"status": F.lit("done"), "message": F.lit("complete")}), now, seq=2
         )
     return _outcome(plan, chosen, done)
 
 
+def _chosen(plan: DataFrame, max_files: int) -> DataFrame:
+    """The oldest files to load, with every other file of their hours: an hour is
+    replaced as a whole."""
+    oldest = plan.where("action = 'ingest'").orderBy("file_hour", "entity", "file_path").limit(max_files)
+    return plan.join(oldest.select(*_HOUR).distinct(), list(_HOUR), "left_semi")
+
+
 def _outcome(plan: DataFrame, chosen: DataFrame, done: DataFrame | None) -> DataFrame:
     words = {
         "skip": "skipped", "upgrade": "skipped", "changed": "changed", "recover": "recovered", "ingest": "waiting",

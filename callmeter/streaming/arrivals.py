@@ -47,7 +47,13 @@ def load_paths(
     present = [p for p in dict.fromkeys(noted + paths) if folder.exists(p)]
     if not present:
         return None
-    files = canonical_files(listing(store.spark, present), landing)
+    # An hour may have several part files, of which the stream offers some now and
+    # some later; it is replaced as a whole, so all that are there come along.
+    folders = sorted({p.rsplit("/", 1)[0] for p in present})
+    beside = canonical_files(listing(store.spark, folders), landing)
+    offered = store.spark.createDataFrame([(p,) for p in present], "file_path string")
+    hours = beside.join(offered, "file_path", "left_semi").select("entity", "file_hour").distinct()
+    files = beside.join(hours, ["entity", "file_hour"], "left_semi")
     young = too_young(now, options.min_age_seconds)
     waiting = files.where(young).select(
         "file_path", "entity", "file_hour", "source_size", "source_mtime_ms",

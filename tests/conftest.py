@@ -21,3 +21,16 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     return session
+
+
+@pytest.fixture()
+def interpreted(spark):
+    """Run without code generation: compiling wide plans outweighs work on a few rows.
+
+    The registered queries cover the same code with generation on.
+    """
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
+    spark.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
+    yield
+    spark.conf.unset("spark.sql.codegen.wholeStage")
+    spark.conf.unset("spark.sql.codegen.factoryMode")

@@ -20,7 +20,7 @@ H0 = datetime(2026, 7, 28, 0)
 
 
 @pytest.fixture()
-def place(spark, tmp_path):
+def place(spark, interpreted, tmp_path):
     root = tmp_path / "landing"
     root.mkdir()
     return Landing(str(root), ("E0", "E1")), CallStore(spark, str(tmp_path / "store"))

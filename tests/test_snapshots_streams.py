@@ -12,7 +12,7 @@ from callmeter.plans.ingest import IngestOptions
 from callmeter.plans.reports import certificates_report, codes_report
 from callmeter.plans.snapshots import SnapshotStore, due_snapshot_day, latest_complete_day
 from callmeter.sources import sinks
-from callmeter.sources.landing import Landing
+from callmeter.sources.landing import HOUR_FOLDER, Landing
 from callmeter.sources.star_records import FIRST_DAY, LAST_DAY, STAR_ENTITIES, star_records
 from callmeter.sources.store import CallStore
 from callmeter.streaming.arrivals import watch_landing
@@ -100,7 +100,7 @@ def test_sum_over_entities_is_the_whole(spark):
     assert sum(attempts([e]) for e in STAR_ENTITIES) == attempts(None)
 
 
-def test_stream_waits_for_young_files_and_survives_restart(spark, tmp_path):
+def test_stream_waits_for_young_files_and_survives_restart(spark, interpreted, tmp_path):
     (tmp_path / "landing").mkdir()
     landing = Landing(str(tmp_path / "landing"), ("E0",))
     store = CallStore(spark, str(tmp_path / "store"))
@@ -119,6 +119,23 @@ def test_stream_waits_for_young_files_and_survives_restart(spark, tmp_path):
     assert drain(now + timedelta(hours=1)) == {"old", "young", "next"}
 
 
+def test_hour_in_parts_survives_small_batches(spark, interpreted, tmp_path):
+    root, now, hour = str(tmp_path / "landing"), datetime(2026, 7, 28, 6), datetime(2026, 7, 28, 0)
+    folder = "entity=E0/y=2026/m=07/d=28/h=00"
+    for n in range(3):
+        made = hour_file(str(tmp_path / "made"), "E0", hour, [{"callid": f"p{n}"}], age_from=now)
+        part = tmp_path / "landing" / folder / f"part-{n}.csv.gz"
+        part.parent.mkdir(parents=True, exist_ok=True)
+        part.write_bytes(made.read_bytes())
+    store = CallStore(spark, str(tmp_path / "store"))
+    watch_landing(
+        store, Landing(root, ("E0",), HOUR_FOLDER), str(tmp_path / "cp"), IngestOptions(lookback_days=None),
+        once=True, files_per_batch=1, clock=lambda: datetime(2100, 1, 1),
+    ).awaitTermination()
+    assert {r["callid"] for r in store.records.collect()} == {"p0", "p1", "p2"}
+    assert sum(r["attempts"] for r in store.media.collect()) == 3
+
+
 def test_append_mode_holds_back_the_open_windows(spark, tmp_path):
     stream = spark.readStream.schema(spark.read.parquet(f"{SF}/events.parquet").schema).parquet(f"{SF}/events.parque[t]")
     hourly = hourly_windows(stream, "ts", ["event_type"], {"n": F.count(F.lit(1))}, delay="1 hour")
