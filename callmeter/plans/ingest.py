@@ -226,7 +226,7 @@ def cycle_summary(outcome: DataFrame) -> DataFrame:
 
 
 def backfill(
-    store: CallStore, landing: Landing, now: datetime, days: int = RETENTION_DAYS,
+    store: CallStore, landing: Landing, now: datetime, days: int | None = RETENTION_DAYS,
     options: IngestOptions = IngestOptions(min_age_seconds=0),
 ) -> list[DataFrame]:
     """Cycles over the last ``days`` days until no file waits."""
@@ -253,31 +253,38 @@ def pending(store: CallStore, files: DataFrame) -> DataFrame:
     return files.join(already_loaded(files, store.manifest.latest), "file_path", "left_anti")
 
 
-def write_cold_store(files: DataFrame, path: str, now: datetime) -> DataFrame:
+def write_cold_store(files: DataFrame, path: str, now: datetime, max_files: int = MAX_FILES) -> DataFrame:
     """Convert source files to a cold Parquet tree, hour by hour, and say what happened.
 
-    Hours already present are skipped. Same columns as the hot store; zstd, row
-    groups of 200 000 rows; the commit protocol makes each run all or nothing.
+    Hours already present are skipped; beyond ``max_files`` (oldest first) files
+    wait for another call. Same columns as the hot store; zstd, row groups of
+    200 000 rows; the commit protocol makes each run all or nothing.
     """
     spark = files.sparkSession
-    folder = Folder(spark)
     # The marker lists finished hours, including those whose files held no row.
-    marker = f"{path}/_hours"
-    schema = "entity string, file_hour timestamp"
+    marker, schema = f"{path}/_hours", "entity string, file_hour timestamp"
     present = (
-        spark.read.schema(schema).parquet(marker) if folder.exists(marker)
+        spark.read.schema(schema).parquet(marker) if Folder(spark).exists(marker)
         else spark.createDataFrame([], schema)
     )
-    frozen = written(src.with_headers(files.select(*src.FILE_COLUMNS)).join(
+    known = files.select(*src.FILE_COLUMNS).join(
         present.distinct().withColumn("present", F.lit(True)), list(_HOUR), "left"
-    ), "cold")
-    fresh = frozen.where(F.col("present").isNull() & F.col("header_error").isNull())
+    )
+    plan = written(
+        known.withColumn("action", F.when(F.col("present"), "skip").otherwise("ingest")), "cold-plan"
+    )
+    chosen = written(src.with_headers(_chosen(plan, max_files)), "cold")
+    fresh = chosen.where(F.col("header_error").isNull())
     if fresh.limit(1).count():
         typed = src.typed_records(src.read_headers_apart(spark, fresh), fresh, now)
         rows = with_partitions(typed.where(~F.col("malformed")).drop("malformed"))
         write_hours(rows, f"{path}/hours", ["event_time"])
         fresh.select(*_HOUR).distinct().coalesce(1).write.mode("append").parquet(marker)
+    taken = chosen.select("file_path", "header_error", F.lit(True).alias("taken"))
     status = (
-        F.when(F.col("present"), "skip").when(F.col("header_error").isNotNull(), "error").otherwise("ok")
+        F.when(F.col("present"), "skip").when(F.col("header_error").isNotNull(), "error")
+        .when(F.col("taken"), "ok").otherwise("waiting")
+    )
+    return plan.join(taken, "file_path", "left").select(
+        "file_path", *_HOUR, status.alias("status"), F.col("header_error").alias("message")
     )
-    return frozen.select("file_path", *_HOUR, status.alias("status"), F.col("header_error").alias("message"))

@@ -145,7 +145,7 @@ def _(spark, sf):
     f"ORDER BY revenue DESC, {', '.join(CUST)} LIMIT 5000"))
 def _(spark, sf):
     params = replace(PARAMS, quick_filter="profitable")
-    return reports.customer_codes_report(star_records(spark, sf), params).rows_with_count
+    return reports.customer_codes_report(star_records(spark, sf), params).stored().rows_with_count
 
 
 _PRESET_SQL = {
@@ -503,7 +503,9 @@ WHERE event_time >= latest - INTERVAL 24 HOUR AND event_time < latest + INTERVAL
 AND trim(term_media_ip) IN (SELECT ip FROM watch) ORDER BY event_time DESC, callid LIMIT 1000""",
                               f"{_MEDIA_SQL}, {_HITS_SQL}"))
 def _(spark, sf):
-    return watchlist.watched_records(star_records(spark, sf), _hits(spark, sf), _watchlist(spark))
+    # The hits are a table in use, read here for their newest hour only.
+    hits = written(_hits(spark, sf), "hits")
+    return watchlist.watched_records(star_records(spark, sf), hits, _watchlist(spark))
 
 
 _LINE_SQL = "SELECT ' 203.0.113.' || (s_suppkey % 300) || ' ,bad-' || (s_suppkey % 7) || ';' || " \

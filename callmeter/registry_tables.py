@@ -33,7 +33,7 @@ from callmeter.streaming.windows import current_state, hourly_windows, partial_b
 
 # Long after every file of a run has been written.
 _LATER = datetime(2100, 1, 1)
-_EVERYTHING = ingest.IngestOptions(lookback_days=None, min_age_seconds=0, max_files=1_000_000)
+_EVERYTHING = ingest.IngestOptions(lookback_days=None, min_age_seconds=0)
 # Paths prepared by this process, per application and data folder.
 _PREPARED: dict[tuple[str, str, str], object] = {}
 
@@ -66,12 +66,12 @@ def _landing(spark: SparkSession, sf: str) -> Landing:
 
 
 def _store(spark: SparkSession, sf: str) -> CallStore:
-    """Store filled by one batch cycle over the landing folder."""
+    """Store filled by batch cycles over the landing folder."""
 
     def build() -> CallStore:
         store = CallStore(spark, fresh_path(spark, "store"))
         ingest.set_watchlist(store, _watchlist(spark))
-        ingest.ingest_cycle(store, _landing(spark, sf), _LATER, _EVERYTHING)
+        ingest.backfill(store, _landing(spark, sf), _LATER, None, _EVERYTHING)
         return store
 
     return _once("store", spark, sf, build)
@@ -157,7 +157,8 @@ def _(spark, sf):
     def build() -> str:
         path = fresh_path(spark, "cold")
         files = src.discover(spark, _landing(spark, sf), _LATER, None, 0)
-        ingest.write_cold_store(files, path, _LATER).count()
+        while ingest.write_cold_store(files, path, _LATER).where("status = 'waiting'").limit(1).count():
+            pass
         return f"{path}/hours"
 
     cold = spark.read.parquet(_once("cold", spark, sf, build))
