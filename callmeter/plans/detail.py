@@ -10,8 +10,8 @@ from callmeter.functions.predicates import panel_scope
 from callmeter.operators.topk import top_rows
 from callmeter.params import PanelFilter
 
-# Newest first; the call id makes the order total.
-_NEWEST = (F.desc, "event_time"), (F.asc, "callid")
+# Newest first; call ids may repeat, so the start time settles the rest.
+_NEWEST = (F.desc, "event_time"), (F.asc, "callid"), (F.asc, "call_start_time")
 
 
 def _newest(records: DataFrame, limit: int | None) -> DataFrame:

@@ -95,7 +95,7 @@ def watched_records(
     chosen = watched_only(records.where(in_window), watchlist)
     if flt.media_ip is not None:
         chosen = chosen.where(F.col("termination_media_ip") == flt.media_ip)
-    order = [F.desc("event_time"), F.asc("callid")]
+    order = [F.desc("event_time"), F.asc("callid"), F.asc("call_start_time")]
     return top_rows(chosen, order, limit).select(
         F.col("call_start_time").alias("call_started"),
         F.col("call_end_time").alias("call_ended"),

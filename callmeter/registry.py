@@ -185,7 +185,7 @@ def _(spark, sf):
 _NPA_SQL = "npa(npa, mapped) AS (VALUES " + ", ".join(f"('{n}', '{s}')" for n, s in STAR_AREA_CODES) + ")"
 
 
-def _state_sql(side: str) -> str:
+def _state_sql(side: str) -> tuple[str, str]:
     placed = (
         f"placed AS (SELECT cdr.* REPLACE (coalesce(mapped, nullif(nullif(trim({side}_state), ''), 'tfree'), '?') "
         f"AS term_state) FROM cdr LEFT JOIN npa "
@@ -500,7 +500,7 @@ coalesce(orig_trunk_group_name, '') AS customer_trunk, term_trunk_group_name AS
 trim(term_media_ip) AS termination_media_ip, from_did, to_did, sip_code, {_OUTCOME} AS result,
 {_RELEASE} AS release_reason, callid FROM cdr, (SELECT max(hour) AS latest FROM hits)
 WHERE event_time >= latest - INTERVAL 24 HOUR AND event_time < latest + INTERVAL 1 HOUR
-AND trim(term_media_ip) IN (SELECT ip FROM watch) ORDER BY event_time DESC, callid LIMIT 1000""",
+AND trim(term_media_ip) IN (SELECT ip FROM watch) ORDER BY event_time DESC, callid, call_start_time LIMIT 1000""",
                               f"{_MEDIA_SQL}, {_HITS_SQL}"))
 def _(spark, sf):
     # The hits are a table in use, read here for their newest hour only.
@@ -542,7 +542,7 @@ SELECT call_start_time AS start_time, from_did AS ani, to_did AS dnis,
 coalesce(orig_trunk_group_name, '') AS customer_trunk, sip_code, {_RELEASE} AS release_reason,
 coalesce(nullif(orig_billed_prefix, ''), '?') AS billed_prefix, coalesce(term_state, '') AS state,
 coalesce(term_ratecenter, '') AS rate_center, entity, callid FROM cdr
-ORDER BY event_time DESC, callid LIMIT 10000"""))
+ORDER BY event_time DESC, callid, call_start_time LIMIT 10000"""))
 def _(spark, sf):
     return detail.call_detail(star_records(spark, sf))
 
@@ -553,7 +553,7 @@ coalesce(orig_trunk_group_name, '') AS customer_trunk, sip_code, {_RELEASE} AS r
 coalesce(nullif(orig_billed_prefix, ''), '?') AS billed_prefix, coalesce(term_state, '') AS state,
 coalesce(term_ratecenter, '') AS rate_center, entity, callid FROM cdr
 WHERE sip_code = 503 AND entity = 'E0' AND {_RANGE.replace('hour', 'event_time', 1)}
-ORDER BY event_time DESC, callid LIMIT 10000"""))
+ORDER BY event_time DESC, callid, call_start_time LIMIT 10000"""))
 def _(spark, sf):
     return detail.call_detail(star_records(spark, sf), replace(_SPAN, entity="E0", sip_code=503))
 
@@ -564,7 +564,7 @@ coalesce(orig_trunk_group_name, '') AS customer_trunk, orig_carrier_name AS cust
 term_carrier_name AS vendor, term_trunk_group_name AS termination_trunk, term_ip, term_media_ip,
 from_did, to_did, sip_code, {_OUTCOME} AS result, {_RELEASE} AS release_reason, duration_real AS duration_sec,
 orig_billed_duration AS billable_sec, stir_attest AS attestation, round(mos_avg, 2)::DOUBLE AS mos, callid
-FROM cdr WHERE term_media_ip <> '' ORDER BY event_time DESC, callid LIMIT 1000"""))
+FROM cdr WHERE term_media_ip <> '' ORDER BY event_time DESC, callid, call_start_time LIMIT 1000"""))
 def _(spark, sf):
     return detail.routed_calls(star_records(spark, sf))
 

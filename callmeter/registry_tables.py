@@ -19,14 +19,14 @@ from callmeter.plans import detail, ingest, reports, rollups, watchlist
 from callmeter.plans.snapshots import SnapshotStore, latest_complete_day, store_daily_snapshot
 from callmeter.registry import (
     _CUST_SQL, _HITS_SQL, _MEDIA_SQL, _REASON_SQL, _RELEASE, _grouped_sql, _panel, _top, _with, CDR, CUST, PARAMS,
-    _SCOPE, _watchlist, query,
+    _SCOPE, _state_sql, _watchlist, query,
 )
-from callmeter.runtime import fresh_path
+from callmeter.runtime import Folder, fresh_path
 from callmeter.sources import landing as src
 from callmeter.sources.landing import HOUR_FOLDER, Landing
 from callmeter.sources.manifest import already_loaded, decide, load_problems
 from callmeter.sources.sinks import write_csv, write_json
-from callmeter.sources.star_records import FIRST_DAY, LAST_DAY, STAR_ENTITIES, star_records
+from callmeter.sources.star_records import FIRST_DAY, LAST_DAY, STAR_ENTITIES, star_area_codes, star_records
 from callmeter.sources.store import CallStore, store_stats
 from callmeter.streaming.arrivals import stream_media_partials, watch_landing
 from callmeter.streaming.windows import current_state, hourly_windows, partial_batches, write_batches
@@ -39,10 +39,12 @@ _PREPARED: dict[tuple[str, str, str], object] = {}
 
 
 def _once(kind: str, spark: SparkSession, sf: str, build):
+    """What ``build`` prepared earlier, unless the shared folder was cleared since."""
     key = (kind, spark.sparkContext.applicationId, sf)
-    if key not in _PREPARED:
-        _PREPARED[key] = build()
-    return _PREPARED[key]
+    made = _PREPARED.get(key)
+    if made is None or not Folder(spark).exists(getattr(made, "root", made)):
+        made = _PREPARED[key] = build()
+    return made
 
 
 def _landing(spark: SparkSession, sf: str) -> Landing:
@@ -104,7 +106,7 @@ def _(spark, sf):
 SELECT call_start_time AS start_time, from_did AS ani, to_did AS dnis,
 coalesce(orig_trunk_group_name, '') AS customer_trunk, sip_code, {_RELEASE} AS release_reason,
 coalesce(nullif(orig_billed_prefix, ''), '?') AS billed_prefix, coalesce(term_state, '') AS state,
-coalesce(term_ratecenter, '') AS rate_center, entity, callid FROM cdr ORDER BY event_time DESC, callid LIMIT 10000"""))
+coalesce(term_ratecenter, '') AS rate_center, entity, callid FROM cdr ORDER BY event_time DESC, callid, call_start_time LIMIT 10000"""))
 def _(spark, sf):
     return detail.call_detail(_store(spark, sf).records)
 
@@ -335,6 +337,23 @@ def _(spark, sf):
     return spark.read.schema(_export(spark, sf).schema).option("header", True).option("escape", '"').csv(path)
 
 
+_STATE_HEAD, _STATE_GROUPED = _state_sql("orig")
+
+
+@query("export_customer_state", f"{_STATE_HEAD} {_STATE_GROUPED}")
+def _(spark, sf):
+    """Trunk × state rows with the state first, as CSV and back."""
+    rows = reports.customer_state_report(star_records(spark, sf), PARAMS, star_area_codes(spark)).rows
+
+    def build() -> str:
+        path = fresh_path(spark, "export-state")
+        write_csv(rows, path, reports.STATE_EXPORT_COLUMNS)
+        return path
+
+    schema = rows.select(*reports.STATE_EXPORT_COLUMNS).schema
+    return spark.read.schema(schema).option("header", True).csv(_once("export-state", spark, sf, build))
+
+
 @query("export_json", _with(_EXPORT_SQL))
 def _(spark, sf):
     def build() -> str:

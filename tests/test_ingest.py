@@ -4,12 +4,13 @@ from datetime import datetime, timedelta
 
 import pytest
 from files import HEADER, ROW, hour_file
+from pyspark.sql import functions as F
 
 from callmeter.functions.predicates import source_hours
 from callmeter.operators.coverage import missing_coverage
 from callmeter.plans import ingest, rollups, watchlist
 from callmeter.plans.ingest import IngestOptions, ingest_cycle
-from callmeter.schema import WATCHLIST_SCHEMA
+from callmeter.schema import PARTITIONS, WATCHLIST_SCHEMA
 from callmeter.sources import landing as src
 from callmeter.sources.landing import Landing
 from callmeter.sources.manifest import load_problems
@@ -232,6 +233,17 @@ def test_cold_store_skips_present_hours(place, spark, tmp_path):
     assert pq.ParquetFile(part).metadata.row_group(0).column(0).compression == "ZSTD"
 
 
+def test_older_files_read_null_for_new_columns(place, spark, tmp_path):
+    landing, store = place
+    hour_file(landing.root, "E0", H0, [{}], age_from=NOW)
+    ingest_cycle(store, landing, NOW)
+    older = CallStore(spark, str(tmp_path / "older"))
+    store.records.drop("bad_cells", "pdd").write.partitionBy(*PARTITIONS).parquet(older.path("records"))
+    older.replace_hours("records", store.records.withColumn("entity", F.lit("E1")))
+    rows = {r["entity"]: r for r in older.records.collect()}
+    assert rows["E0"]["callid"] == ROW["callid"] and rows["E0"]["pdd"] is None and rows["E1"]["pdd"] == 0
+
+
 def test_views_serve_ad_hoc_sql(place, spark):
     landing, store = place
     hour_file(landing.root, "E0", H0, [{}], age_from=NOW)
