@@ -142,13 +142,14 @@ def _(spark, sf):
     return ingest.cycle_summary(outcome).drop("files")
 
 
-@query("header_contract", "SELECT true AS accepted, 27 AS columns")
+@query("header_contract", _with(
+    f"SELECT DISTINCT entity, {_DAY}::TIMESTAMP AS file_hour, true AS accepted, 27 AS columns FROM cdr"))
 def _(spark, sf):
-    """Every file of the landing folder has the same acceptable header."""
+    """The files of every source hour have the same acceptable header."""
     files = src.discover(spark, _landing(spark, sf), _LATER, None, 0)
     checked = src.with_headers(files)
     return checked.select(
-        F.col("header_error").isNull().alias("accepted"), F.size("header").alias("columns")
+        "entity", "file_hour", F.col("header_error").isNull().alias("accepted"), F.size("header").alias("columns")
     ).distinct()
 
 
