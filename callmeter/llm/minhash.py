@@ -8,7 +8,8 @@ Bands of coordinates nominate pairs; whole texts decide.
 Skew: equal shingle sets fold into one representative before banding. In a
 bucket every member is compared with a hub (the member that meets most others), links are contracted
 to components, and only members still in different components are compared with
-each other; so a bucket of n copies costs n comparisons and loses no link.
+each other, if they have enough shingles that any other such document has. So a bucket of n copies costs n
+comparisons and loses no link.
 """
 
 from __future__ import annotations
@@ -147,6 +148,24 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int = SHINGLE, share: t
     return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(width, share), "u long, v long")
 
 
+def _tokens(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch, data, offsets in pieces(batches):
+            shingles, first = shingle_sets(Words(LOWER[data], offsets, powers), width)
+            ids = batch.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, np.diff(first))), pa.array(as_long(shingles))], names=["doc_id", "token"])
+
+    return run
+
+
+def _lone(ids: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """``doc_id, lone``: how many shingles no other of these documents has. They can be in no intersection."""
+    tokens = texts.join(ids, "doc_id", "left_semi").mapInArrow(_tokens(width), "doc_id long, token long")
+    once = tokens.groupBy("token").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).where("doc_id = last")
+    return once.groupBy("doc_id").agg(F.count("*").alias("lone"))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, share: tuple[int, int] = LEAST_SHARE, bands: int = BANDS, band_rows: int = BAND_ROWS
 ) -> DataFrame:
@@ -175,11 +194,15 @@ def near_duplicates(
     links = written(confirmed(first_pairs, texts, width, share), "minhash")
     groups = written(components(links), "minhash")
 
-    # Buckets that still hold several components: compare their members across components.
+    # Buckets whose members, the hub aside, are still in several components: compare those across components.
     placed = members.join(groups, members.doc_id == groups.node, "left").select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    left_over = written(placed.join(open_keys, "key"), "minhash")
-    other = left_over.select("key", F.col("doc_id").alias("hub"), F.col("n_shingles").alias("hub_n"), F.col("component").alias("hub_component"))
+    others = placed.join(hub, "key").where("doc_id <> hub")
+    open_keys = others.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    in_open = written(placed.join(open_keys, "key"), "minhash")
+    left_over = written(in_open.join(_lone(in_open.select("doc_id").distinct(), texts, width), "doc_id", "left").withColumn("common", F.expr("n_shingles - coalesce(lone, 0)"))
+                        .where(f"{share[1]} * common >= {share[0]} * n_shingles"), "minhash")
+    other = left_over.select("key", F.col("doc_id").alias("hub"), F.col("n_shingles").alias("hub_n"), F.col("component").alias("hub_component"), F.col("common").alias("hub_common"))
+    sized += f" and {sum(share)} * least(common, hub_common) >= {share[0]} * (n_shingles + hub_n)"
     tried = first_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = left_over.join(other, "key").where(f"doc_id < hub and component <> hub_component and {sized}").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
     more = written(confirmed(rest.join(tried, ["a", "b"], "left_anti"), texts, width, share), "minhash")
