@@ -29,6 +29,7 @@ from callmeter.runtime import written
 SHINGLE = 5
 BANDS, BAND_ROWS = 40, 5
 LEAST_SHARE = (75, 100)
+HUB_ROUNDS = 2
 _BLOCK = 1 << 16
 PROFILE = "doc_id long, n_shingles long, set_high long, set_low long, keys array<long>"
 
@@ -186,28 +187,39 @@ def near_duplicates(
     met = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = written(entries.join(met, "key"), "minhash")
 
+    # Star rounds: in every bucket that holds several components, its next best hub meets the members of the others.
     weight = members.groupBy("doc_id").agg(F.sum(F.col("size") - 1).alias("weight"))
-    ranked = members.join(weight, "doc_id")
-    hub = ranked.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"), "n_shingles")).alias("h")).select("key", (-F.col("h.minus")).alias("hub"), F.col("h.n_shingles").alias("hub_n"))
-    sized = f"{share[1]} * least(n_shingles, hub_n) >= {share[0]} * greatest(n_shingles, hub_n)"
-    first_pairs = members.join(hub, "key").where(f"doc_id <> hub and {sized}").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = written(confirmed(first_pairs, texts, width, share), "minhash")
-    groups = written(components(links), "minhash")
-
-    # Buckets whose members, the hub aside, are still in several components: compare those across components.
-    placed = members.join(groups, members.doc_id == groups.node, "left").select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
-    others = placed.join(hub, "key").where("doc_id <> hub")
-    open_keys = others.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    in_open = written(placed.join(open_keys, "key"), "minhash")
-    left_over = written(in_open.join(_lone(in_open.select("doc_id").distinct(), texts, width), "doc_id", "left").withColumn("common", F.expr("n_shingles - coalesce(lone, 0)"))
-                        .where(f"{share[1]} * common >= {share[0]} * n_shingles"), "minhash")
-    other = left_over.select("key", F.col("doc_id").alias("hub"), F.col("n_shingles").alias("hub_n"), F.col("component").alias("hub_component"), F.col("common").alias("hub_common"))
-    sized += f" and {sum(share)} * least(common, hub_common) >= {share[0]} * (n_shingles + hub_n)"
-    tried = first_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = left_over.join(other, "key").where(f"doc_id < hub and component <> hub_component and {sized}").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
-    more = written(confirmed(rest.join(tried, ["a", "b"], "left_anti"), texts, width, share), "minhash")
-    if not more.isEmpty():
-        groups = components(links.union(more))
+    placed = written(members.join(weight, "doc_id").select("key", "doc_id", "n_shingles", F.struct("weight", (-F.col("doc_id")).alias("minus"), "n_shingles").alias("place"), F.col("doc_id").alias("component")), "minhash")
+    links, tried, groups = None, None, None
+    alike = f"{share[1]} * least(n_shingles, hub_n) >= {share[0]} * greatest(n_shingles, hub_n)"
+    for turn in range(HUB_ROUNDS):
+        hub = placed.groupBy("key").agg(F.max("place").alias("h"))
+        met_hub = placed.join(hub, "key").withColumn("hub", -F.col("h.minus")).withColumn("hub_n", F.col("h.n_shingles"))
+        of_hub = met_hub.where("doc_id = hub").select("key", F.col("component").alias("hub_component"))
+        wanted = met_hub.where(f"doc_id <> hub and {alike}").join(of_hub, "key").where("component <> hub_component")
+        pairs = wanted.select(F.greatest("hub", "doc_id").alias("a"), F.least("hub", "doc_id").alias("b")).distinct()
+        pairs = written(pairs.join(tried, ["a", "b"], "left_anti") if tried else pairs, "minhash")
+        found = written(confirmed(pairs, texts, width, share), "minhash")
+        links, tried = (links.union(found), tried.union(pairs)) if tried else (found, pairs)
+        if not turn or not found.isEmpty():
+            groups = written(components(links), "minhash")
+        # Go on with the members that are no hub yet, in buckets where these are in several components.
+        left = met_hub.where("doc_id <> hub").drop("component").join(groups, F.col("doc_id") == F.col("node"), "left")
+        left = left.select("key", "doc_id", "n_shingles", "place", F.coalesce("component", "doc_id").alias("component"))
+        open_keys = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+        placed = written(left.join(open_keys, "key"), "minhash")
+        if placed.isEmpty():
+            break
+    else:
+        # What is left: members that share enough shingles with any other of them.
+        members_left = placed.join(_lone(placed.select("doc_id").distinct(), texts, width), "doc_id", "left").withColumn("common", F.expr("n_shingles - coalesce(lone, 0)"))
+        left = written(members_left.where(f"{share[1]} * common >= {share[0]} * n_shingles").select("key", "doc_id", "n_shingles", "component", "common"), "minhash")
+        other = left.select("key", F.col("doc_id").alias("hub"), F.col("n_shingles").alias("hub_n"), F.col("component").alias("hub_component"), F.col("common").alias("hub_common"))
+        enough = f"{sum(share)} * least(common, hub_common) >= {share[0]} * (n_shingles + hub_n)"
+        rest = left.join(other, "key").where(f"doc_id < hub and component <> hub_component and {alike} and {enough}").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+        more = written(confirmed(rest.join(tried, ["a", "b"], "left_anti"), texts, width, share), "minhash")
+        if not more.isEmpty():
+            groups = components(links.union(more))
 
     of_set = folded.join(groups, folded.rep == groups.node, "left").select("set_high", "set_low", F.coalesce("component", "rep").alias("component_id"))
     sets = profile.select("doc_id", "n_shingles", "set_high", "set_low")
