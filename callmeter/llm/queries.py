@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from callmeter.llm import decontaminate, fingerprint, licenses, minhash, packing, surrogates, toxicity
+from callmeter.llm import decontaminate, fingerprint, licenses, lm_score, minhash, packing, substring_dedup, suffix_dedup, surrogates, toxicity
 from callmeter.llm.text import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,11 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_query
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_bytes(documents(spark, sf_dir))
+
+
 @_query
 def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses(documents(spark, sf_dir))
@@ -50,6 +55,16 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.severity(docs, toxicity.fit_severity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+@_query
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.scores(documents(spark, sf_dir))
+
+
 @_query
 def op9_private_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.replaced(documents(spark, sf_dir)).select("doc_id", "n_private", "text")
+
+
+@_query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_words(documents(spark, sf_dir))

@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from callmeter.llm.text import LOWER, Powers, Words, arrow_batches, id_and_text, pieces
 
 SLOTS = 1 << 18
-FIT_ROWS = 20_000
+FIT_ROWS = 10_000
 EPOCHS, LEARNING_RATE, SHRINK = 30, 0.5, 2e-6
-REJECT_FROM = 1.0  # expected severity
+REJECT_FROM = 0.5  # expected severity
 
 # Whatever is no letter separates words here: ASCII punctuation, digits and white space.
 _NO_LETTER = np.zeros(256, bool)
@@ -103,8 +103,8 @@ def fit_severity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, slots
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
     texts = id_and_text(docs).where("doc_id is not null")
-    # A bounded sample (rows, and 4000 characters of each: enough words for a weight), so it may go to the driver.
-    found = texts.join(F.broadcast(graded), "doc_id").select("doc_id", F.encode(F.substring("text", 1, 4000), "utf-8").alias("text"), "grade").toArrow()
+    # A bounded sample of rows, so it may go to the driver.
+    found = texts.join(F.broadcast(graded), "doc_id").select("doc_id", F.encode("text", "utf-8").alias("text"), "grade").toArrow()
     order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")
     raw = found.column("text").to_pylist()
     return _fit([bytes(raw[i]) for i in order], found.column("grade").to_numpy()[order].astype(np.int64), slots)
