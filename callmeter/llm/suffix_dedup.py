@@ -33,16 +33,18 @@ class RunIndex:
 
     @classmethod
     def build(cls, fragments: list[np.ndarray], ids: np.ndarray, window: int) -> RunIndex:
-        """``fragments`` without bounds on their content; ends sort below all bytes, by fragment."""
-        n = len(fragments)
+        """Prefix doubling over the joined fragments; their ends are one symbol below all bytes."""
         sizes = np.array([len(f) for f in fragments])
         ends = np.cumsum(sizes + 1) - 1
-        text = np.empty(ends[-1] + 1, np.int64)
+        text = np.zeros(ends[-1] + 1, np.int64)
         mask = np.ones(len(text), bool)
         mask[ends] = False
-        text[mask] = np.concatenate(fragments).astype(np.int64) + n
-        text[ends] = np.arange(n)
-        rank, depth, prefix = cls._dense(text), 1, None
+        text[mask] = np.concatenate(fragments).astype(np.int64) + 1
+        seven = text.copy()  # seven symbols of nine bits in one key
+        for j in range(1, 7):
+            seven *= 512
+            seven[:-j] += text[j:]
+        rank, depth = cls._dense(seven), 7
 
         def deeper(left: np.ndarray, by: int) -> np.ndarray:
             right = np.zeros(len(text), np.int64)
@@ -69,7 +71,7 @@ class RunIndex:
 
     @staticmethod
     def _dense(keys: np.ndarray) -> np.ndarray:
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         new = np.concatenate([[0], np.diff(keys[order]) != 0])
         out = np.empty(len(keys), np.int64)
         out[order] = np.cumsum(new)
