@@ -1,9 +1,9 @@
 """Benchmark passages in documents, by SimHash windows and multi-index Hamming blocks; DataFrame functions only.
 
-Words are runs of letters and digits, lower-cased. An item of m words belongs to a class by its size: windows of 8
-words (m >= 11), or of 32 (m >= 47). Document windows start every half window; item windows start at
+Words are runs of letters and digits, lower-cased. An item of m words belongs to a class by its size: windows of 8 pairs
+of neighbouring words (m >= 12), or of 32 words (m >= 47). Document windows start every half window; item windows start at
 every word, so any copy of an item in a document holds a document window that equals an item
-window. A window's fingerprint is the 64-bit majority (SimHash) of eight features, single words or
+window. A window's fingerprint is the 64-bit majority (SimHash) of eight features, word pairs or
 tiles of four words. Fingerprints within ``RADIUS`` bits agree on at least one of RADIUS + 1 blocks, so
 equality on a block finds them all. Each candidate is then compared with the whole item at the place where the two
 line up: 5-word shingles weighted by their letters, ``shared weight / total weight >= 0.75``.
@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CLASSES = ((8, 11, 47), (32, 47, None))  # window, items from, items below
+CLASSES = ((8, 12, 47), (32, 47, None))  # window, items from, items below
 BLOCKS = 4
 RADIUS = BLOCKS - 1
 SHINGLE, LEAST_SIMILARITY = 5, 0.75
@@ -57,9 +57,9 @@ def _with_block(df: DataFrame, print_: str) -> DataFrame:
 def _windows(df: DataFrame, window: int, stride: int) -> DataFrame:
     """Rows ``start, print`` for windows at multiples of ``stride`` words; needs ``words``, keeps all columns."""
     tile = window // 8
-    hashes = F.transform("words", lambda w: F.xxhash64(w))
     if tile == 1:
-        df = df.where("size(words) >= 8").withColumn("features", hashes)
+        pairs = F.zip_with(F.expr("slice(words, 1, size(words) - 1)"), F.expr("slice(words, 2, size(words) - 1)"), lambda a, b: F.xxhash64(a, b))
+        df = df.where("size(words) >= 9").withColumn("features", pairs)
     else:
         tiles = F.transform(F.sequence(F.lit(0), F.expr(f"int(size(words) / {tile}) - 1")), lambda i: F.xxhash64(F.slice("words", i * tile + 1, tile)))
         df = df.where(f"size(words) >= {window}").withColumn("features", tiles)
@@ -86,7 +86,7 @@ def _weight(shingles: Column) -> Column:
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = LEAST_SIMILARITY, slice_words: int = SLICE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, item_id, start_word, similarity`` of every benchmark item found in a document, at its best place.
 
-    Null or empty texts hold nothing; items of fewer than 11 words are too short to tell a copy from chance and
+    Null or empty texts hold nothing; items of fewer than 12 words are too short to tell a copy from chance and
     are not searched. Repeated rows of a document give one row; repeated items one each id. A null id matches under
     a null id. Empty tables give no rows.
     """
@@ -101,7 +101,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = LEAST_SIMIL
             own = part.where(f"size(words) >= {low}" + (f" and size(words) < {high}" if high else ""))
             index = _with_block(_item_windows(own, window), "item_print").dropDuplicates(["item_id", "m", "block", "item_print", "offset"])
             probes = _with_block(_windows(texts, window, window // 2), "print")
-            met = probes.join(F.broadcast(index), "block").where(f"bit_count(print ^ item_print) <= {RADIUS}")
+            # coalesce: without it an inferred null check would be pushed below the adders and expand them.
+            met = probes.join(F.broadcast(index), "block").where(f"bit_count(coalesce(print, 0L) ^ coalesce(item_print, 0L)) <= {RADIUS}")
             found.append(met.select("doc_id", "item_id", F.greatest(F.col("start") - F.col("offset"), F.lit(0)).alias("start_word"), F.expr("slice(words, greatest(start - offset, 0) + 1, m)").alias("found")))
     candidates = reduce(DataFrame.union, found).distinct()
     wording = items.select(F.col("item_id").alias("known"), F.col("words").alias("item_words"))
