@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import heapq
 import json
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,7 +60,7 @@ class Encoder:
 
     @staticmethod
     def _raw(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+        return array("I", ids if sys.byteorder == "little" else [int.from_bytes(i.to_bytes(4, "little"), "big") for i in ids]).tobytes()
 
     def __call__(self, text: str) -> bytes:
         if any(a in text for a in self._added):
