@@ -40,5 +40,11 @@ def best_effort_uint(text: Column, bits: int) -> Column:
     return F.when(value < (1 << bits), value).cast("int" if bits < 32 else "long")
 
 
+# Money and scores beyond this are no readings; sums of fixed-point units stay far from overflow below it.
+FLOAT_BOUND = 1e6
+
+
 def best_effort_float(text: Column) -> Column:
-    return text.try_cast("double")
+    """A finite number of plausible size; ``NaN``, infinities and absurd amounts do not count."""
+    value = text.try_cast("double")
+    return F.when(F.abs(value) <= FLOAT_BOUND, value)
