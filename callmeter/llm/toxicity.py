@@ -23,7 +23,7 @@ from callmeter.llm.text import LOWER, Powers, Words, arrow_batches, id_and_text,
 
 SLOTS = 1 << 18
 FIT_ROWS = 10_000
-EPOCHS, LEARNING_RATE, SHRINK = 30, 0.5, 2e-6
+EPOCHS, LEARNING_RATE, SHRINK, LEAST_ROWS, LEAST_DEVIATION = 20, 0.1, 1e-5, 5, 5.0
 REJECT_FROM = 0.5  # expected severity
 
 # Whatever is no letter separates words here: ASCII punctuation, digits and white space.
@@ -62,6 +62,11 @@ def _fit(texts: list[bytes], grades: np.ndarray, slots: int) -> SeverityModel:
         rows.append(r + i)
         cols.append(c)
     rows, cols = np.concatenate(rows), np.concatenate(cols)
+    # Only words that go with a grade far beyond chance: others would be learnt by heart.
+    held, share = np.bincount(cols, minlength=slots), (grades > 0).mean()
+    beyond = (np.bincount(cols, (grades > 0)[rows], slots) - held * share) / np.sqrt(np.maximum(held * share * (1 - share), 1e-9))
+    telling = ((held >= LEAST_ROWS) & (np.abs(beyond) >= LEAST_DEVIATION))[cols]
+    rows, cols = rows[telling], cols[telling]
     first = np.searchsorted(rows, np.arange(len(texts) + 1))
     above = (grades[:, None] > np.arange(levels)).astype(np.float64)
     share = np.clip(above.mean(axis=0), 1e-6, 1 - 1e-6)
