@@ -8,8 +8,8 @@ Bands of coordinates nominate pairs; whole texts decide.
 Skew: equal shingle sets fold into one representative before banding. In a
 bucket every member is compared with a hub (the member that meets most others), links are contracted
 to components, and only members still in different components are compared with
-each other, if they have enough shingles that any other such document has. So a bucket of n copies costs n
-comparisons and loses no link.
+each other, if they have enough shingles that any other such document has and their bitmaps do not
+rule the link out. So a bucket of n copies costs n comparisons and loses no link.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ SHINGLE = 5
 BANDS, BAND_ROWS = 40, 5
 LEAST_SHARE = (75, 100)
 HUB_ROUNDS = 2
+BITMAP_WORDS = 32  # longs in the bitmap of a left-over document
 _BLOCK = 1 << 16
 PROFILE = "doc_id long, n_shingles long, set_high long, set_low long, keys array<long>"
 
@@ -167,6 +168,25 @@ def _lone(ids: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return once.groupBy("doc_id").agg(F.count("*").alias("lone"))
 
 
+def _bitmaps(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch, data, offsets in pieces(batches):
+            shingles, first = shingle_sets(Words(LOWER[data], offsets, powers), width)
+            bits = np.zeros((batch.num_rows, BITMAP_WORDS * 64), np.uint8)
+            bits[np.repeat(np.arange(batch.num_rows), np.diff(first)), mix(shingles) % np.uint64(bits.shape[1])] = 1
+            longs = np.packbits(bits, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(longs[:, i].copy()) for i in range(BITMAP_WORDS))], names=["doc_id", *(f"bits{i}" for i in range(BITMAP_WORDS))])
+
+    return run
+
+
+def _bitmaps_of(ids: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """``doc_id, bits0 …``: the bitmap filter of exact set joins. Every bit in which two bitmaps differ stands for at least one
+    shingle that just one of the sets has, so many such bits rule a link out, and never one that holds."""
+    return texts.join(ids, "doc_id", "left_semi").mapInArrow(_bitmaps(width), "doc_id long, " + ", ".join(f"bits{i} long" for i in range(BITMAP_WORDS)))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, share: tuple[int, int] = LEAST_SHARE, bands: int = BANDS, band_rows: int = BAND_ROWS
 ) -> DataFrame:
@@ -214,9 +234,13 @@ def near_duplicates(
         # What is left: members that share enough shingles with any other of them.
         members_left = placed.join(_lone(placed.select("doc_id").distinct(), texts, width), "doc_id", "left").withColumn("common", F.expr("n_shingles - coalesce(lone, 0)"))
         left = written(members_left.where(f"{share[1]} * common >= {share[0]} * n_shingles").select("key", "doc_id", "n_shingles", "component", "common"), "minhash")
-        other = left.select("key", F.col("doc_id").alias("hub"), F.col("n_shingles").alias("hub_n"), F.col("component").alias("hub_component"), F.col("common").alias("hub_common"))
+        left = written(left.join(_bitmaps_of(left.select("doc_id").distinct(), texts, width), "doc_id"), "minhash")
+        other = left.select("key", F.col("doc_id").alias("hub"), F.col("n_shingles").alias("hub_n"), F.col("component").alias("hub_component"), F.col("common").alias("hub_common"), *(F.col(f"bits{i}").alias(f"hub_bits{i}") for i in range(BITMAP_WORDS)))
         enough = f"{sum(share)} * least(common, hub_common) >= {share[0]} * (n_shingles + hub_n)"
-        rest = left.join(other, "key").where(f"doc_id < hub and component <> hub_component and {alike} and {enough}").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+        # A link with share part / whole has at most (whole - part) / (whole + part) of the summed set sizes outside the intersection.
+        differing = " + ".join(f"bit_count(bits{i} ^ hub_bits{i})" for i in range(BITMAP_WORDS))
+        possible = f"{sum(share)} * ({differing}) <= {share[1] - share[0]} * (n_shingles + hub_n)"
+        rest = left.join(other, "key").where(f"doc_id < hub and component <> hub_component and {alike} and {enough} and {possible}").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
         more = written(confirmed(rest.join(tried, ["a", "b"], "left_anti"), texts, width, share), "minhash")
         if not more.isEmpty():
             groups = components(links.union(more))
