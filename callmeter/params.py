@@ -5,12 +5,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from dataclasses import asdict, dataclass, replace
+from dataclasses import asdict, dataclass, fields, replace
 from datetime import date, datetime, timedelta
 
-MAX_QUERY_DAYS = 31
-MAX_RESULT_ROWS = 5000
-EXPORT_MAX_ROWS = 100_000
+MAX_QUERY_DAYS = 31  # default bound on the days of a request
 # Raised whenever the shape or meaning of report rows changes.
 KEY_VERSION = 4
 
@@ -37,15 +35,10 @@ class InvalidParams(ValueError):
     """A request outside the accepted ranges."""
 
 
-def _day(value, label: str) -> date:
+def _day(value) -> date:
     if isinstance(value, datetime):
         return value.date()
-    if isinstance(value, date):
-        return value
-    try:
-        return datetime.strptime(str(value), "%Y-%m-%d").date()
-    except ValueError as exc:
-        raise InvalidParams(f"{label} must use YYYY-MM-DD") from exc
+    return value if isinstance(value, date) else datetime.strptime(str(value), "%Y-%m-%d").date()
 
 
 def _unique(values) -> tuple:
@@ -70,7 +63,7 @@ class ReportParams:
     customer: str | None = None
     start_hour: int | None = None
     end_hour: int | None = None
-    limit: int = MAX_RESULT_ROWS
+    limit: int | None = None
     sort_by: str = "revenue"
     sort_dir: str = "desc"
     quick_filter: str | None = None
@@ -93,98 +86,92 @@ class ReportParams:
         return hashlib.sha256(text.encode()).hexdigest()
 
 
-def report_params(
-    start_date,
-    known_entities,
-    end_date=None,
-    entities=None,
-    sip_codes=(),
-    reasons=(),
-    customer=None,
-    start_hour=None,
-    end_hour=None,
-    limit=None,
-    sort_by=None,
-    sort_dir=None,
-    quick_filter=None,
-    state_side="orig",
-    export=False,
-) -> ReportParams:
-    """Validate a request against the entities this deployment knows."""
-    if not start_date:
-        raise InvalidParams("start_date required")
-    first = _day(start_date, "start_date")
-    last = _day(end_date or start_date, "end_date")
-    if last < first:
-        raise InvalidParams("end_date must be on or after start_date")
-    if (last - first).days >= MAX_QUERY_DAYS:
-        raise InvalidParams(f"date range exceeds {MAX_QUERY_DAYS} days")
-
-    known = tuple(known_entities)
-    chosen = known if entities is None else entities
-    if isinstance(chosen, str) or not isinstance(chosen, (list, tuple)):
-        raise InvalidParams("entities must be a list")
-    if not chosen:
-        raise InvalidParams("no entities selected")
-    strangers = [e for e in chosen if e not in known]
-    if strangers:
-        raise InvalidParams("unknown entities: " + ", ".join(map(str, strangers)))
-
-    if not isinstance(sip_codes or (), (list, tuple)):
-        raise InvalidParams("sip_codes must be a list")
-    try:
-        codes = _unique(int(c) for c in sip_codes or ())
-    except (TypeError, ValueError) as exc:
-        raise InvalidParams("sip_codes must be integers") from exc
-    if any(not 100 <= c <= 699 for c in codes):
-        raise InvalidParams("sip_codes must contain values from 100 to 699")
-
-    trunk = None if customer is None else (str(customer).strip() or None)
-    if trunk and len(trunk) > 255:
-        raise InvalidParams("origin trunk is too long")
-
-    if (start_hour is None) != (end_hour is None):
-        raise InvalidParams("start_hour and end_hour must be provided together")
-    if start_hour is not None:
+def _listed(value, one) -> tuple:
+    if isinstance(value, str) or not isinstance(value, (list, tuple)):
+        raise TypeError
+    return _unique(one(v) for v in value)
+
+
+def _between(low: int, high: int):
+    def read(value) -> int:
+        number = int(value)
+        if not low <= number <= high:
+            raise ValueError
+        return number
+
+    return read
+
+
+def _one_of(allowed):
+    def read(value) -> str:
+        if value not in allowed:
+            raise ValueError
+        return value
+
+    return read
+
+
+def _short_text(value) -> str | None:
+    text = str(value).strip()
+    if len(text) > 255:
+        raise ValueError
+    return text or None
+
+
+# Field, how its value is read, and what it has to be; a missing value keeps the field's default.
+_RULES = (
+    ("start_date", _day, "a day such as 2026-01-05"),
+    ("end_date", _day, "a day such as 2026-01-05"),
+    ("sip_codes", lambda v: _listed(v, _between(100, 699)), "a list of response codes 100-699"),
+    ("customer", _short_text, "at most 255 characters"),
+    ("start_hour", _between(0, 23), "an hour 0-23"),
+    ("end_hour", _between(0, 23), "an hour 0-23"),
+    ("limit", lambda v: max(1, int(v)), "a number of rows"),
+    ("sort_by", _one_of(SORT_FIELDS), "a known sort field"),
+    ("sort_dir", lambda v: _one_of(("asc", "desc"))(v.lower()), "asc or desc"),
+    ("quick_filter", _one_of(QUICK_FILTERS), "a known filter"),
+)
+
+
+def report_params(start_date, known_entities, *, max_days: int | None = MAX_QUERY_DAYS, **given) -> ReportParams:
+    """Validate a request against the entities this deployment knows; every fault is named at once.
+
+    ``given`` holds the other fields of :class:`ReportParams`. Without a ``limit``
+    a report returns all its rows; ``max_days=None`` lifts the bound on the date range.
+    """
+    unknown = set(given) - {f.name for f in fields(ReportParams)}
+    if unknown:
+        raise TypeError(f"no such parameter: {sorted(unknown)}")
+    given["start_date"] = start_date
+    faults, read = [], {}
+    for name, reader, meaning in _RULES:
+        if given.get(name) in (None, "") and name != "start_date":
+            continue
         try:
-            start_hour, end_hour = int(start_hour), int(end_hour)
-        except (TypeError, ValueError) as exc:
-            raise InvalidParams("hours must be integers from 0 to 23") from exc
-        if not (0 <= start_hour <= 23 and 0 <= end_hour <= 23):
-            raise InvalidParams("hours must be integers from 0 to 23")
+            read[name] = reader(given[name])
+        except (TypeError, ValueError, AttributeError):
+            faults.append(f"{name}: expected {meaning}, got {given[name]!r}")
 
-    ceiling = EXPORT_MAX_ROWS + 1 if export else MAX_RESULT_ROWS
+    chosen = given.get("entities")
     try:
-        rows = ceiling if limit is None else int(limit)
-    except (TypeError, ValueError) as exc:
-        raise InvalidParams("limit must be an integer") from exc
-
-    field_name = sort_by or "revenue"
-    if field_name not in SORT_FIELDS:
-        raise InvalidParams("unsupported sort field")
-    direction = (sort_dir or "desc").lower()
-    if direction not in ("asc", "desc"):
-        raise InvalidParams("sort_dir must be asc or desc")
-    quick = quick_filter or None
-    if quick is not None and quick not in QUICK_FILTERS:
-        raise InvalidParams("unsupported quick_filter")
-    side = str(state_side or "orig").lower()
-
-    return ReportParams(
-        start_date=first,
-        end_date=last,
-        entities=_unique(chosen),
-        sip_codes=codes,
-        reasons=clean_reasons(reasons),
-        customer=trunk,
-        start_hour=start_hour,
-        end_hour=end_hour,
-        limit=max(1, min(rows, ceiling)),
-        sort_by=field_name,
-        sort_dir=direction,
-        quick_filter=quick,
-        state_side=side if side in ("orig", "term") else "orig",
-    )
+        read["entities"] = _listed(tuple(known_entities) if chosen is None else chosen, _one_of(tuple(known_entities)))
+    except (TypeError, ValueError):
+        faults.append(f"entities: expected some of {list(known_entities)}, got {chosen!r}")
+    else:
+        if not read["entities"]:
+            faults.append("entities: the list is empty")
+
+    if "start_date" in read:
+        span = (read.setdefault("end_date", read["start_date"]) - read["start_date"]).days + 1
+        if span < 1 or max_days is not None and span > max_days:
+            faults.append(f"end_date: the request covers {span} days" + (f" of at most {max_days}" if max_days else ""))
+    if ("start_hour" in read) != ("end_hour" in read):
+        faults.append("start_hour, end_hour: one without the other")
+    if faults:
+        raise InvalidParams("; ".join(faults))
+
+    side = str(given.get("state_side") or "").lower()
+    return ReportParams(**read, reasons=clean_reasons(given.get("reasons")), state_side="term" if side == "term" else "orig")
 
 
 # Date presets: (days back of the first day, days back of the last day).

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import datetime, timedelta
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation
@@ -19,7 +20,7 @@ from callmeter.sources.manifest import already_loaded, decide
 from callmeter.sources.store import CallStore, with_partitions, write_hours
 
 RETENTION_DAYS = 4
-# Files one cycle loads (oldest first); the rest waits for the next cycle.
+# Files one job loads (oldest first); the rest follows in the next job of the cycle.
 MAX_FILES = 5000
 
 _HOUR = ("entity", "file_hour")
@@ -156,7 +157,7 @@ def ingest_files(
     refused = F.col("header_error").isNotNull()
     opened = chosen.select(
         *base, zero.alias("rows_ingested"),
-        F.coalesce("header_error", F.lit("validated; load started")).alias("message"),
+        F.coalesce("header_error", F.lit("header-ok")).alias("message"),
         F.when(refused, "error").otherwise("ingesting").alias("status"),
     )
     settled = plan.where(F.col("action").isin("changed", "recover", "upgrade")).select(
@@ -177,6 +178,31 @@ def ingest_files(
     return _outcome(plan, chosen, done)
 
 
+def ingest_turns(
+    store: CallStore, files: DataFrame, now: datetime, options: IngestOptions = IngestOptions()
+) -> list[DataFrame]:
+    """Jobs of at most ``max_files`` files until each file had its turn; one outcome per job.
+
+    A turn goes on with the hours the one before left waiting, whole hours as
+    ever, so a refused file is tried once and holds nothing up.
+    """
+    outcomes = []
+    while True:
+        outcome = ingest_files(store, files, now + timedelta(milliseconds=len(outcomes)), options)
+        outcomes.append(outcome)
+        waiting = written(outcome.where("status = 'waiting'").select(*_HOUR).distinct(), "waiting")
+        if waiting.isEmpty():
+            return outcomes
+        files = written(files.join(waiting, list(_HOUR), "left_semi"), "waiting")
+
+
+def ingest_all(
+    store: CallStore, files: DataFrame, now: datetime, options: IngestOptions = IngestOptions()
+) -> DataFrame:
+    """All turns, as one status row per file."""
+    return reduce(DataFrame.unionByName, ingest_turns(store, files, now, options)).where("status <> 'waiting'")
+
+
 def _chosen(plan: DataFrame, max_files: int) -> DataFrame:
     """The oldest files to load, with every other file of their hours: an hour is
     replaced as a whole."""
@@ -213,9 +239,9 @@ def _outcome(plan: DataFrame, chosen: DataFrame, done: DataFrame | None) -> Data
 def ingest_cycle(
     store: CallStore, landing: Landing, now: datetime, options: IngestOptions = IngestOptions()
 ) -> DataFrame:
-    """Discover, decide and load."""
+    """Discover, decide and load; more than ``max_files`` files take several jobs."""
     files = src.discover(store.spark, landing, now, options.lookback_days, options.min_age_seconds)
-    return ingest_files(store, files, now, options)
+    return ingest_all(store, files, now, options)
 
 
 def cycle_summary(outcome: DataFrame) -> DataFrame:
@@ -229,14 +255,8 @@ def backfill(
     store: CallStore, landing: Landing, now: datetime, days: int | None = RETENTION_DAYS,
     options: IngestOptions = IngestOptions(min_age_seconds=0),
 ) -> list[DataFrame]:
-    """Cycles over the last ``days`` days until no file waits."""
-    cycle = IngestOptions(days, options.min_age_seconds, options.on_change, options.max_files)
-    outcomes = []
-    while True:
-        outcome = ingest_cycle(store, landing, now + timedelta(milliseconds=len(outcomes)), cycle)
-        outcomes.append(outcome)
-        if not outcome.where("status = 'waiting'").limit(1).count():
-            return outcomes
+    """Load the last ``days`` days; the outcome of every job."""
+    return ingest_turns(store, src.discover(store.spark, landing, now, days, options.min_age_seconds), now, options)
 
 
 def nightly(store: CallStore, landing: Landing, now: datetime) -> DataFrame:

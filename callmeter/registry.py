@@ -85,7 +85,7 @@ def _grouped_sql(keys: list[str], where: str = _SCOPE, signature: bool = False,
     return f"SELECT {dims}, {extra} {_BLOCK} FROM {source} WHERE {where} GROUP BY {places}"
 
 
-def _top(sql: str, sort: str, keys: list[str], limit: int | None = 5000) -> str:
+def _top(sql: str, sort: str, keys: list[str], limit: int | None = None) -> str:
     ties = ", ".join(f"{k} ASC NULLS LAST" for k in keys)
     tail = f" LIMIT {limit}" if limit else ""
     return f"SELECT * FROM ({sql}) ORDER BY {sort} NULLS LAST, {ties}{tail}"
@@ -142,7 +142,7 @@ def _(spark, sf):
 
 @query("customer_codes_with_count", _with(
     f"SELECT *, count(*) OVER () AS filtered_row_count FROM ({_CUST_SQL}) WHERE margin > 0 "
-    f"ORDER BY revenue DESC, {', '.join(CUST)} LIMIT 5000"))
+    f"ORDER BY revenue DESC, {', '.join(CUST)}"))
 def _(spark, sf):
     params = replace(PARAMS, quick_filter="profitable")
     return reports.customer_codes_report(star_records(spark, sf), params).stored().rows_with_count

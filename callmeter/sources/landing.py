@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import re
+from collections import Counter
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
@@ -130,15 +131,14 @@ def _first_line(path: str) -> str:
 
 
 def _header_fault(names: list[str]) -> str | None:
-    if not names:
-        return "CSV has no header row"
-    if len(set(names)) < len(names):
-        return "CSV contains duplicate header names"
-    unsafe = [n for n in names if not _NAME.fullmatch(n)]
-    if unsafe:
-        return f"unsafe CSV header: {unsafe[0]!r}"
-    absent = sorted(set(REQUIRED_HEADERS) - set(names))
-    return "required fields missing: " + ", ".join(absent) if absent else None
+    """All breaches of the column contract, or None."""
+    breaches = {
+        "repeated": [n for n, times in Counter(names).items() if times > 1],
+        "malformed": [n for n in dict.fromkeys(names) if not _NAME.fullmatch(n)],
+        "absent": [n for n in REQUIRED_HEADERS if n not in names],
+    }
+    told = [f"{kind} columns: {', '.join(map(repr, found))}" for kind, found in breaches.items() if found]
+    return "; ".join(told) or None
 
 
 def _peek(batches):

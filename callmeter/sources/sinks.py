@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from callmeter.params import EXPORT_MAX_ROWS
-
 
 class ExportRefused(ValueError):
-    """The export is incomplete or too large."""
+    """The export would be incomplete, or larger than the caller allows."""
 
 
 # Column lists of the capped exports.
@@ -33,15 +31,15 @@ def write_json(rows: DataFrame, path: str) -> None:
 
 
 def write_capped_csv(
-    rows: DataFrame, path: str, columns, missing: DataFrame | None = None, cap: int = EXPORT_MAX_ROWS
+    rows: DataFrame, path: str, columns, missing: DataFrame | None = None, cap: int | None = None
 ) -> None:
-    """Export only complete and reasonably small results.
+    """Export only complete results, and with a ``cap`` only results of at most that many rows.
 
     ``missing`` is the coverage check of the request (None skips it, as for the
     certificate export).
     """
     if missing is not None and missing.limit(1).count():
-        raise ExportRefused("export requires complete ingestion")
-    if rows.limit(cap + 1).count() > cap:
-        raise ExportRefused(f"export is above the {cap:,}-row limit; narrow the filters")
+        raise ExportRefused("hours not loaded")
+    if cap is not None and rows.limit(cap + 1).count() > cap:
+        raise ExportRefused(f"more than {cap} rows")
     write_csv(rows, path, columns)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from callmeter.plans.ingest import IngestOptions, ingest_files
+from callmeter.plans.ingest import IngestOptions, ingest_all
 from callmeter.plans.rollups import media_rollup
 from callmeter.runtime import Folder
 from callmeter.sources.landing import Landing, canonical_files, listing, plain_path, too_young
@@ -60,7 +60,7 @@ def load_paths(
         F.lit("waiting").alias("status"), F.lit("file may still be written").alias("message"),
     )
     manifest.append(waiting, now, seq=0)
-    return ingest_files(store, files.where(~young), now, options)
+    return ingest_all(store, files.where(~young), now, options)
 
 
 def watch_landing(

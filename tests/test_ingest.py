@@ -87,8 +87,8 @@ def test_broken_headers_are_refused_as_whole_files(place):
     assert sorted(s for s, _ in statuses(outcome).values()) == ["error", "error", "error", "ingested"]
     assert store.records.count() == 1
     messages = " | ".join(r["message"] for r in load_problems(store.manifest.latest).collect())
-    assert "required fields missing: term_media_ip" in messages
-    assert "duplicate header" in messages and "unsafe CSV header" in messages
+    assert "absent columns: 'term_media_ip'" in messages
+    assert "repeated columns" in messages and "malformed columns" in messages
     summary = {r["status"]: r["files"] for r in ingest.cycle_summary(outcome).collect()}
     assert summary == {"error": 3, "ingested": 1}
 

@@ -8,7 +8,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from callmeter.params import (
-    EXPORT_MAX_ROWS, MAX_RESULT_ROWS, InvalidParams, clean_reasons, date_preset, report_params,
+    InvalidParams, clean_reasons, date_preset, report_params,
     with_hour_preset, with_reasons, with_table_preset,
 )
 
@@ -22,7 +22,7 @@ def ok(**kw):
 def test_defaults():
     p = ok()
     assert (p.start_date, p.end_date) == (date(2026, 1, 5),) * 2
-    assert p.entities == E and p.limit == MAX_RESULT_ROWS
+    assert p.entities == E and p.limit is None
     assert (p.sort_by, p.sort_dir, p.quick_filter, p.state_side) == ("revenue", "desc", None, "orig")
 
 
@@ -40,8 +40,13 @@ def test_rejections(bad):
 
 def test_longest_range_and_limits():
     assert ok(end_date="2026-02-04").end_date == date(2026, 2, 4)
-    assert ok(limit=0).limit == 1 and ok(limit=10**9).limit == MAX_RESULT_ROWS
-    assert ok(export=True).limit == EXPORT_MAX_ROWS + 1
+    assert ok(end_date="2027-02-04", max_days=None).end_date == date(2027, 2, 4)
+    assert ok(limit=0).limit == 1 and ok(limit=10**9).limit == 10**9
+
+
+def test_all_faults_are_named():
+    with pytest.raises(InvalidParams, match="sip_codes.*limit.*sort_by.*entities"):
+        ok(sip_codes=["x"], limit="many", sort_by="callid", entities=["E9"])
 
 
 def test_cleaning():

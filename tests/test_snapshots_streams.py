@@ -1,5 +1,6 @@
 """Prepared results, exports and streams."""
 
+import gzip
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -136,6 +137,19 @@ def test_hour_in_parts_survives_small_batches(spark, interpreted, tmp_path):
     assert sum(r["attempts"] for r in store.media.collect()) == 3
 
 
+def test_more_files_than_one_job_takes_all_arrive(spark, interpreted, tmp_path):
+    landing, now = Landing(str(tmp_path / "landing"), ("E0",)), datetime(2026, 7, 28, 12)
+    for n in range(4):
+        hour_file(landing.root, "E0", datetime(2026, 7, 28, n), [{"callid": f"c{n}"}], age_from=now)
+    refused = tmp_path / "landing/E0/2026/07/28/00.csv.gz"
+    refused.write_bytes(gzip.compress(b"nothing\n1\n"))
+    store = CallStore(spark, str(tmp_path / "store"))
+    options = IngestOptions(lookback_days=None, max_files=1)
+    watch_landing(store, landing, str(tmp_path / "cp"), options, once=True, clock=lambda: datetime(2100, 1, 1)).awaitTermination()
+    assert {r["callid"] for r in store.records.collect()} == {"c1", "c2", "c3"}
+    assert {r["status"] for r in store.manifest.latest.collect()} == {"done", "error"}
+
+
 def test_append_mode_holds_back_the_open_windows(spark, tmp_path):
     stream = spark.readStream.schema(spark.read.parquet(f"{SF}/events.parquet").schema).parquet(f"{SF}/events.parque[t]")
     hourly = hourly_windows(stream, "ts", ["event_type"], {"n": F.count(F.lit(1))}, delay="1 hour")
