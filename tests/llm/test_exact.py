@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -91,6 +92,31 @@ def test_near_duplicates(docs, texts):
     assert found == {d: (len(sets[d]), top(d), top(d) == d) for d in texts}
 
 
+def test_left_over_pairs_meet_by_bitmap(spark, monkeypatch):
+    """Edited copies of one text, near the threshold on both sides: what the hubs leave is decided as brute force does."""
+    draw, base, rows = random.Random(7), [f"w{i}" for i in range(150)], []
+    for doc in range(60):
+        own = list(base)
+        for place in draw.sample(range(150), draw.choice([2, 4, 6, 8])):
+            own[place] = f"n{draw.randrange(10**6)}"
+        rows.append((doc, " ".join(own)))
+    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, w in ((d, t.split()) for d, t in rows)}
+    lowest = {d: d for d in sets}
+    while True:
+        before = dict(lowest)
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                    lowest[a] = lowest[b] = min(lowest[a], lowest[b])
+        if before == lowest:
+            break
+    met, plain = [], minhash._bitmaps_of
+    monkeypatch.setattr(minhash, "HUB_ROUNDS", 1)
+    monkeypatch.setattr(minhash, "_bitmaps_of", lambda *a: met.append(a) or plain(*a))
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert met and found == lowest and len(set(lowest.values())) > 1
+
+
 def test_fingerprints(docs, texts):
     rows = {r.doc_id: r for r in fingerprint.edited_fingerprints(docs).collect()}
     order = sorted(texts)
