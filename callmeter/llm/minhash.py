@@ -213,16 +213,16 @@ def near_duplicates(
     links, tried, groups = None, None, None
     alike = f"{share[1]} * least(n_shingles, hub_n) >= {share[0]} * greatest(n_shingles, hub_n)"
     for turn in range(HUB_ROUNDS):
-        hub = placed.groupBy("key").agg(F.max("place").alias("h"))
-        met_hub = placed.join(hub, "key").withColumn("hub", -F.col("h.minus")).withColumn("hub_n", F.col("h.n_shingles"))
-        of_hub = met_hub.where("doc_id = hub").select("key", F.col("component").alias("hub_component"))
-        wanted = met_hub.where(f"doc_id <> hub and {alike}").join(of_hub, "key").where("component <> hub_component")
+        best = placed.groupBy("key").agg(F.max(F.struct("place", "component")).alias("best"))
+        hub = best.select("key", (-F.col("best.place.minus")).alias("hub"), F.col("best.place.n_shingles").alias("hub_n"), F.col("best.component").alias("hub_component"))
+        met_hub = placed.join(hub, "key")
+        wanted = met_hub.where(f"doc_id <> hub and {alike} and component <> hub_component")
         pairs = wanted.select(F.greatest("hub", "doc_id").alias("a"), F.least("hub", "doc_id").alias("b")).distinct()
         pairs = written(pairs.join(tried, ["a", "b"], "left_anti") if tried else pairs, "minhash")
         found = written(confirmed(pairs, texts, width, share), "minhash")
         links, tried = (links.union(found), tried.union(pairs)) if tried else (found, pairs)
         if not turn or not found.isEmpty():
-            groups = written(components(links), "minhash")
+            groups = components(links)
         # Go on with the members that are no hub yet, in buckets where these are in several components.
         left = met_hub.where("doc_id <> hub").drop("component").join(groups, F.col("doc_id") == F.col("node"), "left")
         left = left.select("key", "doc_id", "n_shingles", "place", F.coalesce("component", "doc_id").alias("component"))
