@@ -69,19 +69,26 @@ def derive_hours(store: CallStore, hours: list[tuple]) -> None:
 
 def refresh_hits(store: CallStore, hours: list[tuple]) -> None:
     """Watch hits of some source hours; hours that lost their last hit are emptied too."""
-    store.drop_hours("hits", hours)
     if not has_rows_on_disk(store.spark, store.path("watchlist")):
+        store.drop_hours("hits", hours)
         return
-    store.replace_hours("hits", watch_hits(store.read_hours("media", hours), store.watchlist))
+    # Worked out before the old ones go, so that a failure leaves these in place.
+    hits = written(watch_hits(store.read_hours("media", hours), store.watchlist), "hits")
+    store.drop_hours("hits", hours)
+    store.replace_hours("hits", hits)
 
 
 def set_watchlist(store: CallStore, addresses: DataFrame) -> None:
-    """Make the watchlist exactly ``addresses`` and rebuild the hits of all history."""
-    addresses.select("termination_media_ip").distinct().coalesce(1).write.mode("overwrite").parquet(
-        store.path("watchlist")
-    )
+    """Make the watchlist exactly ``addresses`` and rebuild the hits of all history.
+
+    List and hits are worked out before the stored ones are touched: a failure on the way leaves
+    both as they were, and ``addresses`` may come from the stored list.
+    """
+    listed = written(addresses.select("termination_media_ip").distinct(), "watchlist")
+    hits = written(watch_hits(store.media, listed), "hits")
+    listed.write.mode("overwrite").parquet(store.path("watchlist"))
     Folder(store.spark).drop(store.path("hits"))
-    store.replace_hours("hits", watch_hits(store.media, store.watchlist))
+    store.replace_hours("hits", hits)
 
 
 def _observed(seen: Observation, name: str) -> int | None:

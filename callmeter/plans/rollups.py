@@ -256,9 +256,9 @@ def reason_grid(
     traffic = reason_grid_traffic(rollup, flt)
     totals = pair_totals(rollup, flt)
     if limit is not None:
-        # Shares are needed for the rows that are shown only; those are at most
-        # ``limit``, which bounds the broadcast.
-        traffic = F.broadcast(traffic.orderBy(*order).limit(limit))
+        # Shares are needed for the rows that are shown only. The limit gives their size to
+        # the optimizer, which broadcasts them under its threshold and shuffles them above.
+        traffic = traffic.orderBy(*order).limit(limit)
     gaps = reason_grid_gaps(rollup, flt).select(
         "customer", "state",
         F.lit(DASH).alias("code"),

@@ -70,6 +70,9 @@ def watch_landing(
 ) -> StreamingQuery:
     """Load arriving files; ``once`` drains what is there and stops.
 
+    While it runs, a tick at every trigger has waiting files looked at again, so a young file
+    is loaded once it is old enough, whether or not another one arrives.
+
     The checkpoint remembers offered files and the load is idempotent, so a
     batch replayed after a crash skips or replaces what it had done. Files
     rewritten later are found by the batch cycle, which compares fingerprints.
@@ -77,12 +80,16 @@ def watch_landing(
 
     def load(batch: DataFrame, batch_id: int) -> None:
         # At most ``files_per_batch`` names; contents never leave the executors.
-        paths = [r["file_path"] for r in batch.collect()]
+        paths = [r["file_path"] for r in batch.where("file_path IS NOT NULL").collect()]
         load_paths(store, landing, paths, clock(), options)
 
     trigger = {"availableNow": True} if once else {"processingTime": interval}
+    arrived = new_files(store.spark, landing, files_per_batch)
+    if not once:
+        ticks = store.spark.readStream.format("rate").option("rowsPerSecond", 1).option("numPartitions", 1).load()
+        arrived = arrived.unionByName(ticks.select(F.lit(None).cast("string").alias("file_path")))
     return (
-        new_files(store.spark, landing, files_per_batch).writeStream
+        arrived.writeStream
         .option("checkpointLocation", checkpoint).foreachBatch(load).trigger(**trigger).start()
     )
 

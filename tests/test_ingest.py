@@ -114,6 +114,24 @@ def test_skip_then_replace_changed_hour_everywhere(place, spark):
     assert watchlist.alert_status(store.hits, store.watchlist).first()[0] == -1
 
 
+def test_failed_watchlist_leaves_list_and_hits(place, spark, monkeypatch):
+    landing, store = place
+    ingest.set_watchlist(store, spark.createDataFrame([("203.0.113.10",)], WATCHLIST_SCHEMA))
+    hour_file(landing.root, "E0", H0, [{"callid": "a"}], age_from=NOW)
+    ingest_cycle(store, landing, NOW)
+    ingest.set_watchlist(store, store.watchlist)  # its own list
+    assert [r["matching_cdrs"] for r in store.hits.collect()] == [1]
+
+    def fails(*_):
+        raise RuntimeError("no hits today")
+
+    monkeypatch.setattr(ingest, "watch_hits", fails)
+    with pytest.raises(RuntimeError):
+        ingest.set_watchlist(store, spark.createDataFrame([("192.0.2.1",)], WATCHLIST_SCHEMA))
+    assert [r["termination_media_ip"] for r in store.watchlist.collect()] == ["203.0.113.10"]
+    assert [r["matching_cdrs"] for r in store.hits.collect()] == [1]
+
+
 def test_changed_file_is_flagged_and_left_alone(place):
     landing, store = place
     flag = IngestOptions(on_change="flag")

@@ -1,6 +1,7 @@
 """Prepared results, exports and streams."""
 
 import gzip
+import time
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -120,6 +121,32 @@ def test_stream_waits_for_young_files_and_survives_restart(spark, interpreted, t
     assert drain(now + timedelta(hours=1)) == {"old", "young", "next"}
 
 
+def test_running_stream_loads_young_file_without_another_arrival(spark, interpreted, tmp_path):
+    landing = Landing(str(tmp_path / "landing"), ("E0",))
+    store = CallStore(spark, str(tmp_path / "store"))
+    now = datetime(2026, 7, 28, 6)
+    clock = {"now": now}
+    hour_file(landing.root, "E0", datetime(2026, 7, 28, 1), [{"callid": "young"}], age_from=now, age_seconds=5)
+    stream = watch_landing(
+        store, landing, str(tmp_path / "cp"), IngestOptions(lookback_days=None), interval="1 second", clock=lambda: clock["now"],
+    )
+
+    def until(reached):
+        end = time.monotonic() + 60
+        while not reached() and time.monotonic() < end and stream.isActive:
+            time.sleep(0.2)
+        assert reached(), stream.exception()
+
+    try:
+        until(lambda: store.manifest.latest.where("status = 'waiting'").count() == 1)
+        assert store.records.count() == 0
+        clock["now"] = now + timedelta(hours=1)
+        until(lambda: store.manifest.latest.where("status = 'done'").count() == 1)
+    finally:
+        stream.stop()
+    assert [r["callid"] for r in store.records.collect()] == ["young"]
+
+
 def test_hour_in_parts_survives_small_batches(spark, interpreted, tmp_path):
     root, now, hour = str(tmp_path / "landing"), datetime(2026, 7, 28, 6), datetime(2026, 7, 28, 0)
     folder = "entity=E0/y=2026/m=07/d=28/h=00"
