@@ -1,12 +1,13 @@
 """Benchmark passages in documents, by SimHash windows and multi-index Hamming blocks; DataFrame functions only.
 
 Words are runs of letters and digits, lower-cased. An item of m words belongs to a class by its size: windows of 8 pairs
-of neighbouring words (m >= 12), or of 32 words (m >= 47). Document windows start every half window; item windows start at
-every word, so any copy of an item in a document holds a document window that equals an item
-window. A window's fingerprint is the 64-bit majority (SimHash) of eight features, word pairs or
-tiles of four words. Fingerprints within ``RADIUS`` bits agree on at least one of RADIUS + 1 blocks, so
-equality on a block finds them all. Each candidate is then compared with the whole item at the place where the two
-line up: 5-word shingles weighted by their letters, ``shared weight / total weight >= 0.75``.
+of neighbouring words (m >= 12), or of 4 pairs, one shingle (5 <= m < 12). Item windows start at every word, document windows
+at every third or every word, so a copy holds a document window that equals an item window as long as 11 words in a row
+(or one shingle) are unchanged; similarity 0.75 leaves that many unless the lost shingles are much lighter than the others.
+A window's fingerprint is the 64-bit majority (SimHash) of eight features, its pairs once or twice.
+Fingerprints within ``RADIUS`` bits agree on at least one of RADIUS + 1 blocks, so equality on a block finds them all.
+Each candidate is then compared with the whole item at the place where the two line up and at the places up to a quarter of the
+item before and after it: 5-word shingles weighted by their letters, ``shared weight / total weight >= 0.75``.
 
 The index of benchmark windows is broadcast in slices of at most ``SLICE_WORDS`` words, whatever the benchmark's
 size; documents are never shuffled before a window has matched.
@@ -19,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CLASSES = ((8, 12, 47), (32, 47, None))  # window, items from, items below
+CLASSES = ((8, 3, 12, None), (4, 1, 5, 12))  # pairs in a window, words between document windows, items from, items below
 BLOCKS = 4
 RADIUS = BLOCKS - 1
 SHINGLE, LEAST_SIMILARITY = 5, 0.75
@@ -31,14 +32,14 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), BETWEEN_WORDS), "")
 
 
-def _majority(df: DataFrame, features: str, at: str, out: str) -> DataFrame:
-    """The bitwise majority of ``features[at] … features[at + 7]``: counts in bit planes, four of eight decided by the last."""
+def _majority(df: DataFrame, features: str, at: str, out: str, pairs: int) -> DataFrame:
+    """The bitwise majority of ``pairs`` (8, or 4 taken twice) features from ``at`` on: counts in bit planes, four of eight decided by the last."""
 
     def step(frame: DataFrame, **columns: str) -> DataFrame:
         return frame.withColumns({k: F.expr(v) for k, v in columns.items()})
 
     add = "({0} & {1}) | (({0} ^ {1}) & {2})"
-    df = step(df, **{f"x{i}": f"{features}[{at} + {i}]" for i in range(8)})
+    df = step(df, **{f"x{i}": f"{features}[{at} + {i * pairs // 8}]" for i in range(8)})
     df = step(df, s1="x0 ^ x1 ^ x2", c1=add.format("x0", "x1", "x2"), s2="x3 ^ x4 ^ x5", c2=add.format("x3", "x4", "x5"))
     df = step(df, s3="s1 ^ s2 ^ x6", c3=add.format("s1", "s2", "x6"))
     df = step(df, ones="s3 ^ x7", c4="s3 & x7", t1="c1 ^ c2 ^ c3", d1=add.format("c1", "c2", "c3"))
@@ -54,28 +55,20 @@ def _with_block(df: DataFrame, print_: str) -> DataFrame:
     return df.withColumn("block", F.explode(F.array(*keys)))
 
 
-def _windows(df: DataFrame, window: int, stride: int) -> DataFrame:
+def _windows(df: DataFrame, pairs: int, stride: int) -> DataFrame:
     """Rows ``start, print`` for windows at multiples of ``stride`` words; needs ``words``, keeps all columns."""
-    tile = window // 8
-    if tile == 1:
-        pairs = F.zip_with(F.expr("slice(words, 1, size(words) - 1)"), F.expr("slice(words, 2, size(words) - 1)"), lambda a, b: F.xxhash64(a, b))
-        df = df.where("size(words) >= 9").withColumn("features", pairs)
-    else:
-        tiles = F.transform(F.sequence(F.lit(0), F.expr(f"int(size(words) / {tile}) - 1")), lambda i: F.xxhash64(F.slice("words", i * tile + 1, tile)))
-        df = df.where(f"size(words) >= {window}").withColumn("features", tiles)
-    df = df.withColumn("at", F.explode(F.expr(f"sequence(0, size(features) - 8, {stride // tile})")))
-    return _majority(df, "features", "at", "print").withColumn("start", F.col("at") * tile).drop("features", "at")
-
-
-def _item_windows(items: DataFrame, window: int) -> DataFrame:
-    """Windows of an item at every word: each shift within a tile is a word list of its own."""
-    tile = window // 8
-    shifted = items.withColumn("shift", F.explode(F.sequence(F.lit(0), F.lit(tile - 1)))).withColumn("whole", F.col("words")).withColumn("words", F.expr("slice(whole, shift + 1, size(whole))"))
-    found = _windows(shifted, window, tile)
-    return found.select("item_id", F.size("whole").alias("m"), (F.col("start") + F.col("shift")).alias("offset"), F.col("print").alias("item_print"))
-
-
-def _shingles(words: str) -> Column:
+    features = F.zip_with(F.expr("slice(words, 1, size(words) - 1)"), F.expr("slice(words, 2, size(words) - 1)"), lambda a, b: F.xxhash64(a, b))
+    df = df.where(f"size(words) > {pairs}").withColumn("features", features)
+    df = df.withColumn("start", F.explode(F.expr(f"sequence(0, size(features) - {pairs}, {stride})")))
+    return _majority(df, "features", "start", "print", pairs).drop("features")
+
+
+def _item_windows(items: DataFrame, pairs: int) -> DataFrame:
+    """Windows of an item at every word."""
+    return _windows(items, pairs, 1).select("item_id", F.size("words").alias("m"), F.col("start").alias("offset"), F.col("print").alias("item_print"))
+
+
+def _shingles(words: str | Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - SHINGLE + 1)), lambda i: F.array_join(F.slice(words, i, SHINGLE), " "))
 
 
@@ -86,28 +79,31 @@ def _weight(shingles: Column) -> Column:
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = LEAST_SIMILARITY, slice_words: int = SLICE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, item_id, start_word, similarity`` of every benchmark item found in a document, at its best place.
 
-    Null or empty texts hold nothing; items of fewer than 12 words are too short to tell a copy from chance and
-    are not searched. Repeated rows of a document give one row; repeated items one each id. A null id matches under
+    Null or empty texts hold nothing; items of fewer than 5 words have no shingle and are not searched. Repeated rows of a document give one row; repeated items one each id. A null id matches under
     a null id. Empty tables give no rows.
     """
-    items = benchmark.select("item_id", _words(F.col("text")).alias("words")).where(f"size(words) >= {CLASSES[0][1]}")
-    total = items.agg(F.sum(F.size("words"))).first()[0] or 0
-    slices = max(1, -(-total // slice_words))
+    items = benchmark.select("item_id", _words(F.col("text")).alias("words")).where(f"size(words) >= {SHINGLE}")
+    total, shorter = items.agg(F.sum(F.size("words")), F.count_if(F.size("words") < CLASSES[0][2])).first()
+    slices = max(1, -(-(total or 0) // slice_words))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), _words(F.col(text_col)).alias("words"))
     found = []
     for n in range(slices):
         part = items.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(slices)) == n)
-        for window, low, high in CLASSES:
+        for pairs, stride, low, high in CLASSES if shorter else CLASSES[:1]:
             own = part.where(f"size(words) >= {low}" + (f" and size(words) < {high}" if high else ""))
-            index = _with_block(_item_windows(own, window), "item_print").dropDuplicates(["item_id", "m", "block", "item_print", "offset"])
-            probes = _with_block(_windows(texts, window, window // 2), "print")
+            index = _with_block(_item_windows(own, pairs), "item_print").dropDuplicates(["item_id", "m", "block", "item_print", "offset"])
+            probes = _with_block(_windows(texts, pairs, stride), "print")
             # coalesce: without it an inferred null check would be pushed below the adders and expand them.
             met = probes.join(F.broadcast(index), "block").where(f"bit_count(coalesce(print, 0L) ^ coalesce(item_print, 0L)) <= {RADIUS}")
-            found.append(met.select("doc_id", "item_id", F.greatest(F.col("start") - F.col("offset"), F.lit(0)).alias("start_word"), F.expr("slice(words, greatest(start - offset, 0) + 1, m)").alias("found")))
+            met = met.withColumn("reach", F.expr("int(ceil(m / 4))")).withColumn("from_word", F.greatest(F.expr("start - offset - reach"), F.lit(0)))
+            found.append(met.select("doc_id", "item_id", "m", "from_word", F.expr("slice(words, from_word + 1, start - offset + m + reach - from_word)").alias("around")))
     candidates = reduce(DataFrame.union, found).distinct()
-    wording = items.select(F.col("item_id").alias("known"), F.col("words").alias("item_words"))
-    both = candidates.join(wording, candidates.item_id.eqNullSafe(wording.known)).withColumns({"a": _shingles("found"), "b": _shingles("item_words")})
-    scored = both.withColumn("similarity", _weight(F.array_intersect("a", "b")) / _weight(F.array_union("a", "b"))).where(F.col("similarity") >= similarity)
+    wording = items.select(F.col("item_id").alias("known"), F.col("words").alias("item_words")).distinct()
+    both = candidates.join(wording, candidates.item_id.eqNullSafe(wording.known) & (F.size("item_words") == F.col("m"))).withColumn("b", _shingles("item_words"))
+    # What the surroundings lack of the item, no place in them has.
+    near = both.where(_weight(F.array_intersect(_shingles("around"), "b")) >= similarity * _weight(F.array_distinct("b")))
+    places = near.withColumn("place", F.explode(F.expr("sequence(0, greatest(size(around) - m, 0))"))).withColumn("a", _shingles(F.expr("slice(around, place + 1, m)"))).withColumn("start_word", F.col("from_word") + F.col("place"))
+    scored = places.withColumn("similarity", _weight(F.array_intersect("a", "b")) / _weight(F.array_union("a", "b"))).where(F.col("similarity") >= similarity)
     best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start_word")).alias("minus"))).alias("best"))
     return best.select("doc_id", "item_id", (-F.col("best.minus")).alias("start_word"), F.col("best.similarity").alias("similarity"))
 

@@ -229,6 +229,38 @@ def test_leaks(spark, docs, texts):
     assert in_slices == {p for p in found if p[0] >= 20_000}
 
 
+def _brute_leaks(documents, items):
+    """Best similarity of every pair over all places, from the threshold on."""
+    shingles = lambda w: {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    weight = lambda s: sum(map(len, s))
+    out = {}
+    for i, words in items.items():
+        own = shingles(words)
+        for d, text in documents.items():
+            likes = [weight(own & a) / weight(own | a) for p in range(max(1, len(text) - len(words) + 1)) for a in [shingles(text[p : p + len(words)])] if own & a]
+            if likes and max(likes) >= 0.75:
+                out[d, i] = max(likes)
+    return out
+
+
+def test_leaks_with_edits(spark):
+    """One word replaced, left out or put in, at every place of short, middle and long items and at every offset in the document."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9)))
+    items = {m: [word() for _ in range(m)] for m in (5, 6, 7, 9, 11, 12, 13, 14, 17, 24, 46, 47, 53, 60)}
+    documents = {}
+    for words in items.values():
+        for p in range(len(words)):
+            for n, middle in enumerate(([word()], [], [words[p], word()])):
+                documents[len(documents)] = [word() for _ in range(20 + (p + n) % 4)] + words[:p] + middle + words[p + 1 :] + [word() for _ in range(20)]
+    wanted = _brute_leaks(documents, items)
+    assert {i for _, i in wanted} == set(items)
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in documents.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.leaks(docs, bench).collect()}
+    assert found == pytest.approx(wanted)
+
+
 def test_empty_and_nameless(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     nameless = spark.createDataFrame([(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (7, None)], "doc_id long, text string")
