@@ -3,7 +3,7 @@
 One pattern finds e-mail addresses, phone and card numbers, internet addresses, long secrets and titled
 names. Every distinct value gets a surrogate from a keyed hash (SHA-256 over key, kind, value and attempt),
 written in the value's own format: digits for digits, small letters for small ones, separators and
-country code as they are, octets in range, a title's gender and a name's script kept. A surrogate that another value has, or
+country code as they are, octets in range, a title's gender and a name's script kept. A family name has four syllables and two more with every attempt, so there are always enough. A surrogate that another value has, or
 that is itself a value of the corpus, is drawn again with the next attempt, so distinct values stay distinct and a value reads
 the same wherever it occurs.
 """
@@ -81,7 +81,8 @@ def _name(value: Column, stream: Column) -> Column:
         given = F.when((gender == g) & (script == s), F.element_at(F.array(*map(F.lit, names)), F.pmod(_nibble(stream, F.lit(0)), F.lit(16)) + 1)).otherwise(given)
     for s, parts in SYLLABLES.items():
         own = F.array(*map(F.lit, parts))
-        made = F.initcap(F.concat(*[F.element_at(own, F.pmod(_nibble(stream, F.lit(k)), F.lit(16)) + 1) for k in range(1, 5)]))
+        syllables = F.transform(F.sequence(F.lit(1), 4 + 2 * F.col("attempt")), lambda k: F.element_at(own, F.pmod(_nibble(stream, k), F.lit(16)) + 1))
+        made = F.initcap(F.array_join(syllables, ""))
         family = F.when(script == s, made).otherwise(family)
     return F.when(words > 1, F.concat(title, given, F.lit(" "), family)).otherwise(F.concat(title, family))
 

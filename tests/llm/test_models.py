@@ -68,6 +68,13 @@ def test_surrogates_are_distinct(spark):
     assert {r.value: r.surrogate for r in rows} == {r.value: r.surrogate for r in surrogates.surrogate_table(values.where("value < '300'")).collect()}
 
 
+def test_more_names_than_four_syllables_spell(spark):
+    made = F.initcap(F.translate(F.format_string("%06d", "id"), "0123456789", "abcdefghij"))
+    values = spark.range(66_000).select(F.lit("name").alias("kind"), F.concat(F.lit("Mr. "), made).alias("value"))
+    table = surrogates.surrogate_table(values).cache()
+    assert table.count() == table.select("surrogate").distinct().count() == 66_000
+
+
 @pytest.fixture(scope="module")
 def small(spark):
     return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
