@@ -1,7 +1,9 @@
 """Language-model scores of documents by stupid backoff, with counts over the whole corpus.
 
 ``S(w | context) = count(context w) / count(context)`` if the n-gram occurs at least ``least`` times, else ``alpha`` times the score
-of the shorter context, down to ``count(w) / N``. The log scores of a document's words are summed.
+of the shorter context, down to ``count(w) / N``. The log scores of a document's words are summed. The counted corpus holds the scored
+text itself, so no n-gram has count 0: with ``least`` = 2 an n-gram that occurs nowhere else counts as unseen; ``least`` = 1 is the
+literal rule, which never backs off inside its own corpus.
 
 The count table is partitioned by hash. Documents are dealt to parts of a few megabytes; a part explodes
 its n-grams, combines equal ones, and asks each hash bucket for totals: one row per part and bucket, with the keys (40 bits
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from callmeter.llm.text import Powers, Words, arrow_batches, id_and_text, joined_hash, mix, pieces
 from callmeter.runtime import written
 
-ORDER, ALPHA, LEAST = 2, 0.4, 2
+ORDER, ALPHA, LEAST = 3, 0.4, 2
 PART_BYTES, BUCKET_KEYS = 8 << 20, 1 << 20
 _LOW = np.uint64((1 << 40) - 1)
 

@@ -229,6 +229,13 @@ def test_leaks(spark, docs, texts):
     assert in_slices == {p for p in found if p[0] >= 20_000}
 
 
+def test_lm_default_order_sees_two_words_before(spark):
+    """'c' after 'a b' (twice) and after 'x b' (twice, but always 'd'): only a trigram model tells them apart."""
+    rows = spark.createDataFrame([(1, "a b c"), (2, "a b c"), (3, "x b d"), (4, "x b d")], "doc_id long, text string")
+    found = {r.doc_id: r.log_score for r in lm_score.scores(rows).collect()}
+    assert found == pytest.approx(dict.fromkeys((1, 2, 3, 4), math.log(2 / 12)))
+
+
 def _brute_leaks(documents, items):
     """Best similarity of every pair over all places, from the threshold on."""
     shingles = lambda w: {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
