@@ -74,7 +74,11 @@ def fragments(codes: np.ndarray, first: np.ndarray, unit: Unit, powers: Powers)
     row_begin = first[:-1]
     change[row_begin[row_begin < len(least)]] = True
     at = np.flatnonzero(change)
-    begin, end = at[:-1], at[1:]
+    # Runs too long for a run's bits are cut at fixed lengths from their begin.
+    most = (1 << _RUN_BITS) - 1
+    cuts = -(-np.diff(at) // most)
+    begin = np.repeat(at[:-1], cuts) + most * (np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts))
+    end = np.append(begin[1:], at[-1])
     good = inside[begin]
     begin, end = begin[good], end[good]
     up, down = powers.to(len(codes) + 1)

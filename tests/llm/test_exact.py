@@ -6,12 +6,14 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from callmeter.llm import decontaminate, fingerprint, licenses, lm_score, minhash, packing, substring_dedup, suffix_dedup
+from callmeter.llm import decontaminate, fingerprint, licenses, lm_score, minhash, packing, repeats, substring_dedup, suffix_dedup
+from callmeter.llm.text import Powers
 
 SF = "/root/testdata/sf0.001"
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -67,6 +69,21 @@ def test_substring_dedup(docs, texts, hot):
     assert found == wanted
 
 
+def test_long_runs_are_cut(monkeypatch):
+    """Every window of periodic and other rows is in one fragment, and each fragment's length fits its bits."""
+    unit = repeats.Unit(window=50, gram=8, words=False)
+    row = [b"x" * 5000, b"ab" * 40, b"x" * 64, b"x" * 112, b"short"]
+    data, offsets = np.frombuffer(b"".join(row), np.uint8), np.cumsum([0, *map(len, row)])
+    codes, first = unit.tokens(data, offsets, Powers())
+    whole = repeats.fragments(codes, first, unit, Powers())
+    monkeypatch.setattr(repeats, "_RUN_BITS", 4)
+    h, f, rows, start, n = repeats.fragments(codes, first, unit, Powers())
+    assert n.max() < 1 << 4
+    windows = lambda h, rows, start, n: [(r, s + k, x) for x, r, s, m in zip(h.tolist(), rows.tolist(), start.tolist(), n.tolist(), strict=True) for k in range(m)]
+    assert windows(h, rows, start, n) == windows(whole[0], *whole[2:])
+    assert len(set(f[(rows == 0) & (n == 15)].tolist())) == 1
+
+
 def test_near_duplicates(docs, texts):
     sets = {}
     for doc, text in texts.items():
