@@ -1,11 +1,11 @@
 """Personal data replaced by keyed surrogates of the same kind; DataFrame functions only.
 
 One pattern finds e-mail addresses, phone and card numbers, internet addresses, long secrets and titled
-names. Every distinct value gets a surrogate from a keyed hash (SHA-256 over key, kind, value and attempt),
-written in the value's own format: digits for digits, small letters for small ones, separators and
-country code as they are, octets in range, a title's gender and a name's script kept. A family name has four syllables and two more with every attempt, so there are always enough. A surrogate that another value has, or
-that is itself a value of the corpus, is drawn again with the next attempt, so distinct values stay distinct and a value reads
-the same wherever it occurs.
+names. Values are mentions of entities: lower-cased addresses, digits, a given name with its gender, a family name. Every distinct
+entity gets a surrogate from a keyed hash (SHA-256 over key, kind, entity and attempt), and a mention is written in its own format: digits for digits, small letters for small ones, separators and
+country code as they are, octets in range, a title's gender and a name's script kept. A family name has four syllables and two more with every attempt, so there are always enough. A surrogate that another entity has, or
+that is itself an entity of the corpus, is drawn again with the next attempt, so distinct entities stay distinct and one entity
+has one surrogate in whatever format it is mentioned.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from callmeter.runtime import written
 
 DEFAULT_KEY = "callmeter"
-MALE, FEMALE = "Mr|Herr|Monsieur|Señor", "Mrs|Ms|Miss|Frau|Madame|Señora"
+MALE, FEMALE = "Mr|Herr|Monsieur|Señor|Господин|г-н", "Mrs|Ms|Miss|Frau|Madame|Señora|Госпожа|г-жа"
 KINDS = {
     "email": r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+",
     "ip": r"(?<![0-9.])(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}(?![0-9]|\.[0-9])",
@@ -31,7 +31,9 @@ KINDS = {
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 # Every value holds a digit, an @ or a title; most texts hold none of them.
-STEMS = ("Mr", "Ms", "Miss", "Herr", "Frau", "Monsieur", "Madame", "Señor")
+STEMS = ("Mr", "Ms", "Miss", "Herr", "Frau", "Monsieur", "Madame", "Señor", "Госпо", "г-")
+# Calling codes of one and two digits; all others have three.
+CALLING_CODE = "^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 # Given names by gender and script, and last syllables of family names (fixed values).
 NAMES = {
     ("male", "latin"): ["Adam", "Bruno", "Carl", "David", "Erik", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Leo", "Marco", "Nils", "Oscar", "Paul"],
@@ -66,67 +68,103 @@ def _like(value: Column, stream: Column, keep: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), F.length(value) - 1), drawn), "")
 
 
-def _hex_like(value: Column, stream: Column) -> Column:
-    fresh = F.substring(stream, F.lit(1), F.length(value))
-    return F.when(value.rlike("[A-F]"), F.upper(fresh)).otherwise(fresh)
-
-
-def _name(value: Column, stream: Column) -> Column:
-    title = F.regexp_extract(value, rf"^((?:{FEMALE}|{MALE})\.? )", 1)
-    words = F.size(F.split(F.substring(value, F.length(title) + 1, F.length(value)), " "))
-    gender = F.when(title.rlike(rf"^(?:{FEMALE})\.? $"), "female").otherwise("male")
-    script = F.when(value.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    given, family = F.lit(""), F.lit("")
-    for (g, s), names in NAMES.items():
-        given = F.when((gender == g) & (script == s), F.element_at(F.array(*map(F.lit, names)), F.pmod(_nibble(stream, F.lit(0)), F.lit(16)) + 1)).otherwise(given)
+def _spelled(stream: Column, script: Column, n: Column) -> Column:
+    out = F.lit("")
     for s, parts in SYLLABLES.items():
         own = F.array(*map(F.lit, parts))
-        syllables = F.transform(F.sequence(F.lit(1), 4 + 2 * F.col("attempt")), lambda k: F.element_at(own, F.pmod(_nibble(stream, k), F.lit(16)) + 1))
-        made = F.initcap(F.array_join(syllables, ""))
-        family = F.when(script == s, made).otherwise(family)
-    return F.when(words > 1, F.concat(title, given, F.lit(" "), family)).otherwise(F.concat(title, family))
+        out = F.when(script == s, F.array_join(F.transform(F.sequence(F.lit(1), n), lambda k: F.element_at(own, F.pmod(_nibble(stream, k), F.lit(16)) + 1)), "")).otherwise(out)  # noqa: B023
+    return out
 
 
 def _surrogate(key: str) -> Column:
-    """From columns ``kind, value, attempt``: the surrogate of that attempt."""
-    value = F.col("value")
-    seed = F.concat_ws("\u0001", F.lit(key), "kind", "value", F.col("attempt").cast("string"))
+    """From columns ``kind, entity, attempt``: the surrogate of that attempt."""
+    entity, attempt, kind = F.col("entity"), F.col("attempt"), F.col("kind")
+    seed = F.concat_ws("\u0001", F.lit(key), "kind", "entity", attempt.cast("string"))
     stream = F.concat(*[F.sha2(F.concat_ws("\u0001", seed, F.lit(str(k))), 256) for k in range(4)])
-    local = F.substring_index(value, "@", 1)
     octet = lambda k: _nibble(stream, F.lit(k)).cast("string")
-    code = F.length(F.regexp_extract(value, r"^(\+[0-9]{1,3}(?![0-9]))", 1))
-    kind = F.col("kind")
+    script = F.when(entity.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+    given = F.lit("")
+    for (g, s), names in NAMES.items():
+        given = F.when((kind == f"given {g}") & (script == s), F.element_at(F.array(*map(F.lit, names)), F.pmod(_nibble(stream, F.lit(0)), F.lit(16)) + 1)).otherwise(given)
     return (
-        F.when(kind == "email", F.concat(_like(local, stream, F.lit(0)), F.lit("."), F.substring(stream, 200, 8), F.lit("@example.org")))
+        F.when(kind == "email", F.concat(_like(F.substring_index(entity, "@", 1), stream, F.lit(0)), F.lit("."), F.substring(stream, 200, 8), F.lit("@example.org")))
         .when(kind == "ip", F.concat(F.lit("10."), F.concat_ws(".", octet(0), octet(1), octet(2))))
-        .when(kind == "phone", _like(value, stream, code))
-        .when(kind == "account", _like(value, stream, F.lit(2)))
-        .when(kind == "secret", _hex_like(value, stream))
-        .when(kind == "name", _name(value, stream))
-        .otherwise(_like(value, stream, F.lit(0)))
+        .when(kind == "phone", _like(entity, stream, F.length(F.regexp_extract(entity, CALLING_CODE, 1))))
+        .when(kind == "account", _like(entity, stream, F.lit(2)))
+        .when(kind == "secret", F.substring(stream, F.lit(1), F.length(entity)))
+        .when(kind == "family", F.initcap(_spelled(stream, script, 4 + 2 * attempt)))
+        .when(kind.startswith("given"), F.when(attempt == 0, given).otherwise(F.concat(given, _spelled(stream, script, 2 * attempt))))
+        .otherwise(_like(entity, stream, F.lit(0)))
     )
 
 
-def surrogate_table(values: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
-    """``kind, value, surrogate`` for distinct ``values(kind, value)``: no two alike, none a value itself.
+def _distinct_surrogates(entities: DataFrame, key: str) -> DataFrame:
+    """``kind, entity, surrogate`` for distinct ``entities(kind, entity)``: no two alike, none an entity itself.
 
-    Each round draws again only what collides (all but the first value of a collision); small kinds could run
-    out of surrogates, which raises after 64 rounds instead of giving two values one surrogate.
+    Each round draws again only what collides (all but the first entity of a collision); small kinds could run
+    out of surrogates, which raises after 64 rounds instead of giving two entities one surrogate.
     """
-    values = written(values.distinct(), "surrogates")
-    state = written(values.withColumn("attempt", F.lit(0)).withColumn("surrogate", _surrogate(key)), "surrogates")
+    entities = written(entities.distinct(), "surrogates")
+    state = written(entities.withColumn("attempt", F.lit(0)).withColumn("surrogate", _surrogate(key)), "surrogates")
     for _ in range(64):
-        owner = state.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "value")).alias("o"), F.count("*").alias("n")).where("n > 1").select("kind", "surrogate", F.col("o.value").alias("owner"))
-        taken = values.select("kind", F.col("value").alias("surrogate")).withColumn("taken", F.lit(True))
+        owner = state.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "entity")).alias("o"), F.count("*").alias("n")).where("n > 1").select("kind", "surrogate", F.col("o.entity").alias("owner"))
+        taken = entities.select("kind", F.col("entity").alias("surrogate")).withColumn("taken", F.lit(True))
         judged = state.join(owner, ["kind", "surrogate"], "left").join(taken, ["kind", "surrogate"], "left")
-        again = judged.withColumn("again", F.coalesce("taken", F.lit(False)) | (F.col("owner").isNotNull() & (F.col("owner") != F.col("value"))))
+        again = judged.withColumn("again", F.coalesce("taken", F.lit(False)) | (F.col("owner").isNotNull() & (F.col("owner") != F.col("entity"))))
         if again.where("again").isEmpty():
-            return state.select("kind", "value", "surrogate")
-        moved = again.select("kind", "value", "surrogate", "attempt", "again").withColumn("attempt", F.col("attempt") + F.col("again").cast("int"))
-        state = written(moved.withColumn("surrogate", F.when(F.col("again"), _surrogate(key)).otherwise(F.col("surrogate"))).select("kind", "value", "attempt", "surrogate"), "surrogates")
+            return state.select("kind", "entity", "surrogate")
+        moved = again.select("kind", "entity", "surrogate", "attempt", "again").withColumn("attempt", F.col("attempt") + F.col("again").cast("int"))
+        state = written(moved.withColumn("surrogate", F.when(F.col("again"), _surrogate(key)).otherwise(F.col("surrogate"))).select("kind", "entity", "attempt", "surrogate"), "surrogates")
     raise ValueError("a kind of value has too few surrogates")
 
 
+TITLE = rf"^((?:{FEMALE}|{MALE})\.? )"
+
+
+def _entities() -> Column:
+    """From columns ``kind, value``: the entities it mentions, in order. A number without a country code is one of country 1."""
+    kind, value = F.col("kind"), F.col("value")
+    bare = F.regexp_replace(value, "[^A-Za-z0-9]", "")
+    title = F.regexp_extract(value, TITLE, 1)
+    words = F.split(F.regexp_replace(value, TITLE, ""), " ")
+    gender = F.when(title.rlike(rf"^(?:{FEMALE})\.? $"), "given female").otherwise("given male")
+    entity = lambda k, e: F.struct(k.alias("kind"), e.alias("entity"))
+    family = entity(F.lit("family"), F.element_at(words, -1))
+    plain = (
+        F.when(kind.isin("email", "secret"), F.lower(value))
+        .when(kind == "ip", F.array_join(F.transform(F.split(value, r"\."), lambda o: o.cast("int").cast("string")), "."))
+        .when((kind == "phone") & ~value.startswith("+"), F.concat(F.lit("1"), bare))
+        .otherwise(bare)
+    )
+    return F.when(kind != "name", F.array(entity(kind, plain))).when(F.size(words) > 1, F.array(entity(gender, F.element_at(words, 1)), family)).otherwise(F.array(family))
+
+
+def _rendered() -> Column:
+    """From columns ``kind, value, drawn`` (surrogates of the entities, in order): the surrogate in the value's format."""
+    kind, value, one = F.col("kind"), F.col("value"), F.element_at("drawn", 1)
+    bare = lambda c: F.length(F.regexp_replace(c, "[^A-Za-z0-9]", ""))
+    ahead = F.length(one) - bare(value)  # the country code that a mention leaves out
+
+    def placed(i: Column) -> Column:
+        old = F.substring(value, i + 1, F.lit(1))
+        return F.when(old.rlike("[A-Za-z0-9]"), F.substring(one, ahead + bare(F.substring(value, F.lit(1), i + 1)), F.lit(1))).otherwise(old)
+
+    cased = F.when((value == F.upper(value)) & (value != F.lower(value)), F.upper(one)).otherwise(one)
+    return (
+        F.when(kind == "name", F.concat(F.regexp_extract(value, TITLE, 1), F.array_join("drawn", " ")))
+        .when(kind == "ip", one).when(kind.isin("email", "secret"), cased)
+        .otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.length(value) - 1), placed), ""))
+    )
+
+
+def surrogate_table(values: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
+    """``kind, value, surrogate`` for distinct ``values(kind, value)``: mentions of one entity share its surrogate, no two entities do."""
+    mentions = written(values.distinct().select("kind", "value", F.posexplode(_entities()).alias("place", "of")).select("kind", "value", "place", "of.kind", "of.entity").toDF("kind", "value", "place", "of", "entity"), "surrogates")
+    drawn = _distinct_surrogates(mentions.select(F.col("of").alias("kind"), "entity"), key).withColumnRenamed("kind", "of")
+    whole = mentions.join(drawn, ["of", "entity"]).groupBy("kind", "value").agg(F.array_sort(F.collect_list(F.struct("place", "surrogate"))).alias("parts"))
+    return whole.withColumn("drawn", F.col("parts.surrogate")).select("kind", "value", _rendered().alias("surrogate"))
+
+
 def replaced(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text") -> DataFrame:
     """``docs`` with every detected value replaced, and ``n_private``, the number of places.
 

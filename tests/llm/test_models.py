@@ -68,6 +68,23 @@ def test_surrogates_are_distinct(spark):
     assert {r.value: r.surrogate for r in rows} == {r.value: r.surrogate for r in surrogates.surrogate_table(values.where("value < '300'")).collect()}
 
 
+def test_one_entity_in_several_formats(spark):
+    rows = [
+        ("email", "Ann@x.com"), ("email", "ann@x.com"), ("card", "4111 1111 1111 1111"), ("card", "4111111111111111"), ("card", "4111 1111 1111 1112"),
+        ("phone", "+1 (974) 555-3436"), ("phone", "+1 974 555 3436"), ("phone", "(974) 555-3436"), ("phone", "+19745553436"),
+        ("name", "Mr Smith"), ("name", "Mr. Smith"), ("name", "Mr. John Smith"), ("name", "Mr. James Smith"), ("name", "Господин Иванов"),
+    ]
+    by = {r.value: r.surrogate for r in surrogates.surrogate_table(spark.createDataFrame(rows, "kind string, value string")).collect()}
+    assert by["Ann@x.com"] == by["ann@x.com"]
+    digits = lambda v: re.sub(r"\D", "", by[v])
+    assert digits("4111 1111 1111 1111") == by["4111111111111111"] != digits("4111 1111 1111 1112")
+    assert digits("+1 (974) 555-3436") == digits("+1 974 555 3436") == digits("+19745553436") == "1" + digits("(974) 555-3436")
+    family = by["Mr Smith"].split()[1]
+    assert by["Mr. Smith"] == f"Mr. {family}" and by["Mr. John Smith"].split()[2] == by["Mr. James Smith"].split()[2] == family
+    assert by["Mr. John Smith"] != by["Mr. James Smith"]
+    assert re.fullmatch(r"Господин [А-Я][а-я]+", by["Господин Иванов"]) and by["Господин Иванов"] != "Господин Иванов"
+
+
 def test_more_names_than_four_syllables_spell(spark):
     made = F.initcap(F.translate(F.format_string("%06d", "id"), "0123456789", "abcdefghij"))
     values = spark.range(66_000).select(F.lit("name").alias("kind"), F.concat(F.lit("Mr. "), made).alias("value"))
