@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from callmeter.llm import decontaminate, fingerprint, licenses, lm_score, minhash, packing, substring_dedup, suffix_dedup, surrogates, toxicity
+from callmeter.llm import decontaminate, exact_dedup, fingerprint, licenses, lm_score, minhash, packing, substring_dedup, suffix_dedup, surrogates, toxicity
 from callmeter.llm.text import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,15 @@ def op9_private_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_words(documents(spark, sf_dir))
+
+
+@_query
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(documents(spark, sf_dir))
+
+
+ORACLE["op12_exact_dedup"] = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(norm) AS text_sha256
+FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
+WINDOW same AS (PARTITION BY norm)
+"""
