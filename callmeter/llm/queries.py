@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from callmeter.llm import decontaminate, exact_dedup, fingerprint, licenses, lm_score, minhash, packing, substring_dedup, suffix_dedup, surrogates, toxicity
+from callmeter.llm import collocations, decontaminate, exact_dedup, fingerprint, licenses, lm_score, minhash, packing, prefix_trie, substring_dedup, suffix_dedup, surrogates, toxicity
 from callmeter.llm.text import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,60 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
 WINDOW same AS (PARTITION BY norm)
 """
+
+
+@_query
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.shared_prefixes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+# crc32 by its byte table; then each prefix of a rebuilt conversation as a list of digests, and subtrees by comparing lists.
+ORACLE["op13_conversation_trie"] = """
+WITH RECURSIVE steps AS (
+  SELECT range AS byte, range AS v, 0 AS k FROM range(256)
+  UNION ALL SELECT byte, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM steps WHERE k < 8),
+crc AS (
+  SELECT conv_id, conv_id::VARCHAR AS rest, 4294967295::BIGINT AS c FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)
+  UNION ALL SELECT conv_id, rest[2:], xor(c >> 8, v) FROM crc JOIN steps ON k = 8 AND byte = xor(c, ascii(rest[1])) & 255 WHERE rest <> ''),
+heads AS (SELECT conv_id, (xor(c, 4294967295) % 9)::BIGINT AS h FROM crc WHERE rest = ''),
+turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+coded AS (SELECT conv_id, turn, strlen(text) AS size, sha256(strlen(role)::VARCHAR || ':' || role || text)[1:32] AS digest FROM turns),
+own AS (SELECT conv_id, list({'d': digest, 'n': size} ORDER BY turn NULLS FIRST, digest, size) AS t FROM coded GROUP BY conv_id),
+rebuilt AS (SELECT o.conv_id, list_concat(coalesce(b.t[1:h], []), o.t[h + 1:]) AS p
+  FROM own o JOIN heads USING (conv_id) LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 5),
+places AS (SELECT conv_id, len(p) AS whole, unnest(generate_series(0, len(p))) AS depth, p FROM rebuilt),
+nodes AS (SELECT depth, list_transform(p[1:depth], lambda x: x.d) AS path, max(p[depth].n) AS size, min(conv_id) AS conv_id, count(*) AS n_convs,
+  sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (whole = depth), '')) AS ends_sha256 FROM places GROUP BY 1, 2),
+kids AS (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+counted AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids USING (path)),
+sums AS (SELECT d.path[1:u.depth] AS path, count(*) FILTER (d.n_children = 0) AS n_leaves, sum((d.n_convs - 1) * coalesce(d.size, 0))::BIGINT AS saved_tokens
+  FROM counted d, unnest(generate_series(0, d.depth)) AS u(depth) GROUP BY 1)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM counted n JOIN sums USING (path) LEFT JOIN counted p ON n.depth > 0 AND p.path = n.path[1:n.depth - 1]
+"""
+
+
+@_query
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+ORACLE["op11_phrase_collocations"] = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::HUGEINT AS total FROM worded GROUP BY 1),
+placed AS (SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM worded),
+grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM placed, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE i + k - 1 <= len(w)),
+f AS (SELECT lang, phrase, k, count(*)::HUGEINT AS n FROM grams GROUP BY 1, 2, 3),
+candidates AS (SELECT * FROM f WHERE k > 1 AND n >= 100),
+cuts AS (SELECT *, unnest(generate_series(1, k - 1)) AS j FROM candidates),
+parts AS (SELECT lang, phrase, k, n, j, array_to_string(string_split(phrase, ' ')[1:j], ' ') AS head, array_to_string(string_split(phrase, ' ')[j + 1:], ' ') AS tail FROM cuts),
+scored AS (SELECT p.lang, p.phrase, p.k, p.n AS a, a.n AS l, b.n AS r, total, (1000 * p.n * total) // (a.n * b.n) AS score, j
+  FROM parts p JOIN f a ON a.lang = p.lang AND a.phrase = head JOIN f b ON b.lang = p.lang AND b.phrase = tail JOIN totals t ON t.lang = p.lang),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+kept AS (SELECT * FROM worst c WHERE NOT EXISTS (SELECT 1 FROM candidates q WHERE q.lang = c.lang AND q.k > c.k AND 100 * q.n >= 100 * c.a
+  AND contains(' ' || q.phrase || ' ', ' ' || c.phrase || ' ')))
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, total::BIGINT AS n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) WHERE rank <= 2000
+"""
