@@ -58,7 +58,7 @@ class ExactIndex:
 
     def find(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """``doc_id, keep_id, group_size, text_sha256`` for every row of ``docs``; the two in the middle are null for a text the index does not hold."""
-        asked = _keyed(docs, id_col, text_col, self.key_bits).select("doc_id", "key", sha256_hex(F.col("norm")).alias("text_sha256"))
+        asked = written(_keyed(docs, id_col, text_col, self.key_bits).select("doc_id", "key", sha256_hex(F.col("norm")).alias("text_sha256")), "asked")
         wanted = ["key", "text_sha256"]
         stored = self.links.select(*wanted, "keep_id", "group_size")
         is_hot = F.col("group_size") * HOT_CHAINS > self.rows
@@ -87,6 +87,15 @@ def _doubled(keys: DataFrame, n: int, capacity: int) -> tuple[DataFrame, int]:
     return buckets, depth
 
 
+def _slots(buckets: DataFrame, depth: int) -> DataFrame:
+    """Every slot of the directory with its bucket: a bucket that split less often has several."""
+    if not depth:
+        return buckets.select(F.col("bucket").alias("slot"), "bucket", "depth")
+    among = F.explode(F.expr(f"sequence(0L, shiftleft(1L, {depth} - depth) - 1)")).alias("i")
+    step = F.shiftleft(F.lit(1).cast("long"), 64 - depth)
+    return buckets.select("bucket", "depth", among).select((F.col("bucket") + F.col("i") * step).alias("slot"), "bucket", "depth")
+
+
 def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, key_bits: int = KEY_BITS) -> ExactIndex:
     """Index every text of ``docs``. Fewer ``key_bits`` only make chains longer."""
     keyed = _keyed(docs, id_col, text_col, key_bits)
@@ -95,12 +104,13 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capac
     keys = links.select("key").distinct() if key_bits < KEY_BITS else links.select("key")
     n_links, rows = links.agg(F.count("*"), F.sum("group_size")).first()
     buckets, depth = _doubled(keys, n_links, capacity)
-    step = F.shiftleft(F.lit(1).cast("long"), 64 - depth) if depth else F.lit(0).cast("long")
-    spread = F.expr(f"sequence(0L, shiftleft(1L, {depth} - depth) - 1)")
-    directory = written(buckets.select("bucket", "depth", F.explode(spread).alias("i")).select((F.col("bucket") + F.col("i") * step).alias("slot"), "bucket", "depth"), "directory")
-    slots = directory.select("slot", "bucket")
-    slots = F.broadcast(slots) if 1 << depth <= BROADCAST_SLOTS else slots
-    placed = links.withColumn("slot", leading_bits(F.col("key"), depth)).join(slots, "slot").drop("slot")
+    directory = written(_slots(buckets, depth), "directory")
+    if depth:
+        slots = directory.select("slot", "bucket")
+        slots = F.broadcast(slots) if 1 << depth <= BROADCAST_SLOTS else slots
+        placed = links.withColumn("slot", leading_bits(F.col("key"), depth)).join(slots, "slot").drop("slot")
+    else:
+        placed = links.withColumn("bucket", leading_bits(F.col("key"), 0))
     # One owner per bucket: chains are complete in it, and need no further exchange.
     chain = Window.partitionBy("bucket", "key")
     owned = placed.repartitionByRange("bucket").select(
