@@ -61,21 +61,23 @@ def plan_cycle(store: CallStore, files: DataFrame, on_change: str) -> DataFrame:
 
 def derive_hours(store: CallStore, hours: list[tuple]) -> None:
     """Rebuild the rollups and watch hits of some source hours from the stored records."""
-    records = store.read_hours("records", hours)
-    for table, build in (("media", rollups.media_rollup), ("reasons", rollups.reason_rollup)):
-        store.replace_hours(table, build(records))
-    refresh_hits(store, hours)
+    with store.change() as to:
+        records = to.read_hours("records", hours)
+        for table, build in (("media", rollups.media_rollup), ("reasons", rollups.reason_rollup)):
+            to.replace_hours(table, build(records))
+        refresh_hits(to, hours)
 
 
 def refresh_hits(store: CallStore, hours: list[tuple]) -> None:
     """Watch hits of some source hours; hours that lost their last hit are emptied too."""
-    if not has_rows_on_disk(store.spark, store.path("watchlist")):
-        store.drop_hours("hits", hours)
-        return
-    # Worked out before the old ones go, so that a failure leaves these in place.
-    hits = written(watch_hits(store.read_hours("media", hours), store.watchlist), "hits")
-    store.drop_hours("hits", hours)
-    store.replace_hours("hits", hits)
+    with store.change() as to:
+        if not to.has_watchlist():
+            to.drop_hours("hits", hours)
+            return
+        # Worked out before the old ones go, so that a failure leaves these in place.
+        hits = written(watch_hits(to.read_hours("media", hours), to.watchlist), "hits")
+        to.drop_hours("hits", hours)
+        to.replace_hours("hits", hits)
 
 
 def set_watchlist(store: CallStore, addresses: DataFrame) -> None:
@@ -86,9 +88,36 @@ def set_watchlist(store: CallStore, addresses: DataFrame) -> None:
     """
     listed = written(addresses.select("termination_media_ip").distinct(), "watchlist")
     hits = written(watch_hits(store.media, listed), "hits")
-    listed.write.mode("overwrite").parquet(store.path("watchlist"))
-    Folder(store.spark).drop(store.path("hits"))
-    store.replace_hours("hits", hits)
+    with store.change() as to:
+        to.put_watchlist(listed)
+        to.drop_all("hits")
+        to.replace_hours("hits", hits)
+
+
+def change_watchlist(store: CallStore, added: DataFrame, removed: DataFrame) -> None:
+    """Take addresses off the list and put others on, touching only the hours where that changes a hit.
+
+    Hits of an added address come from the rollup rows of that address, those of a removed one go by an anti-join; the other hits of
+    such an hour are written again beside them, all other hours stay as they are. An address both added and removed is on the list.
+    """
+    old = store.watchlist.select("termination_media_ip").distinct()
+    wanted = added.select("termination_media_ip").distinct()
+    gone = removed.select("termination_media_ip").distinct().join(wanted, "termination_media_ip", "left_anti")
+    gone = written(old.join(gone, "termination_media_ip", "left_semi"), "watchlist")
+    fresh = written(wanted.join(old, "termination_media_ip", "left_anti"), "watchlist")
+    listed = written(old.join(gone, "termination_media_ip", "left_anti").unionByName(fresh), "watchlist")
+    hits = store.hits
+    found = written(watch_hits(store.media, fresh), "hits")
+    lost = written(hits.join(gone, "termination_media_ip", "left_semi").select(*PARTITIONS).distinct(), "hits")
+    touched = lost.unionByName(found.select(*PARTITIONS)).distinct()
+    kept = hits.join(touched, list(PARTITIONS), "left_semi").join(gone, "termination_media_ip", "left_anti")
+    again = written(kept.unionByName(found.select(*hits.columns)), "hits")
+    # Hours of a changed list: at most the stored hours, a row each.
+    emptied = sorted(map(tuple, lost.join(again, list(PARTITIONS), "left_anti").collect()))
+    with store.change() as to:
+        to.put_watchlist(listed)
+        to.drop_hours("hits", emptied)
+        to.replace_hours("hits", again)
 
 
 def _observed(seen: Observation, name: str) -> int | None:
@@ -100,9 +129,14 @@ def _observed(seen: Observation, name: str) -> int | None:
 
 
 def _load(store: CallStore, accepted: DataFrame, hours: list[tuple], now: datetime) -> DataFrame:
-    """Replace the hours of the accepted files and return the counts per file."""
+    """Replace the hours of the accepted files, in all tables with one change, and return the counts per file."""
+    with store.change() as to:
+        return _load_into(to, accepted, hours, now)
+
+
+def _load_into(store: CallStore, accepted: DataFrame, hours: list[tuple], now: datetime) -> DataFrame:
     spark = store.spark
-    cells = src.read_headers_apart(spark, accepted)
+    cells = src.read_cells(spark, accepted)
     seen = Observation()
     typed = src.typed_records(cells, accepted, now).observe(
         seen,
@@ -283,8 +317,8 @@ def pending(store: CallStore, files: DataFrame) -> DataFrame:
 def write_cold_store(files: DataFrame, path: str, now: datetime, max_files: int = MAX_FILES) -> DataFrame:
     """Convert source files to a cold Parquet tree, hour by hour, and say what happened.
 
-    Hours already present are skipped; beyond ``max_files`` (oldest first) files
-    wait for another call. Same columns as the hot store; zstd, row groups of
+    Hours already present are skipped, and so are files that were refused with their present fingerprint; beyond
+    ``max_files`` (oldest first) files wait for another call. Same columns as the hot store; zstd, row groups of
     200 000 rows; the commit protocol makes each run all or nothing.
     """
     spark = files.sparkSession
@@ -294,24 +328,30 @@ def write_cold_store(files: DataFrame, path: str, now: datetime, max_files: int
         spark.read.schema(schema).parquet(marker) if Folder(spark).exists(marker)
         else spark.createDataFrame([], schema)
     )
+    refusals, fault = f"{path}/_refused", "file_path string, source_size long, source_mtime_ms long, refused string"
+    refused = (
+        spark.read.schema(fault).parquet(refusals) if Folder(spark).exists(refusals) else spark.createDataFrame([], fault)
+    )
     known = files.select(*src.FILE_COLUMNS).join(
         present.distinct().withColumn("present", F.lit(True)), list(_HOUR), "left"
-    )
-    plan = written(
-        known.withColumn("action", F.when(F.col("present"), "skip").otherwise("ingest")), "cold-plan"
-    )
-    chosen = written(src.with_headers(_chosen(plan, max_files)), "cold")
+    ).join(refused.distinct(), ["file_path", "source_size", "source_mtime_ms"], "left")
+    action = F.when(F.col("present"), "skip").when(F.col("refused").isNotNull(), "refused").otherwise("ingest")
+    plan = written(known.withColumn("action", action), "cold-plan")
+    chosen = written(src.with_headers(_chosen(plan, max_files).where("action = 'ingest'")), "cold")
     fresh = chosen.where(F.col("header_error").isNull())
+    # Noted, so that a file nobody can read is not the oldest waiting one for ever.
+    chosen.where(F.col("header_error").isNotNull()).select(
+        "file_path", "source_size", "source_mtime_ms", F.col("header_error").alias("refused")
+    ).write.mode("append").parquet(refusals)
     if fresh.limit(1).count():
-        typed = src.typed_records(src.read_headers_apart(spark, fresh), fresh, now)
+        typed = src.typed_records(src.read_cells(spark, fresh), fresh, now)
         rows = with_partitions(typed.where(~F.col("malformed")).drop("malformed"))
         write_hours(rows, f"{path}/hours", ["event_time"])
         fresh.select(*_HOUR).distinct().coalesce(1).write.mode("append").parquet(marker)
     taken = chosen.select("file_path", "header_error", F.lit(True).alias("taken"))
+    fault = F.coalesce("header_error", "refused")
     status = (
-        F.when(F.col("present"), "skip").when(F.col("header_error").isNotNull(), "error")
+        F.when(F.col("present"), "skip").when(fault.isNotNull(), "error")
         .when(F.col("taken"), "ok").otherwise("waiting")
     )
-    return plan.join(taken, "file_path", "left").select(
-        "file_path", *_HOUR, status.alias("status"), F.col("header_error").alias("message")
-    )
+    return plan.join(taken, "file_path", "left").select("file_path", *_HOUR, status.alias("status"), fault.alias("message"))

@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callmeter.functions import dims
-from callmeter.functions.network import canonical_ip
+from callmeter.functions.network import one_spelling
 from callmeter.operators.topk import top_rows
 from callmeter.params import PanelFilter
-from callmeter.runtime import broadcast_if_small
 from callmeter.schema import PARTITIONS
 
 HIT_KEYS = [
@@ -20,16 +19,9 @@ _MATCH_KEYS = [k for k in HIT_KEYS if k != "hour"]
 
 
 def spelled_out(traffic: DataFrame, watchlist: DataFrame, column: str = "term_media_ip") -> DataFrame:
-    """The watchlist plus every other spelling of its addresses found in traffic.
-
-    Only version-6 text has more than one spelling, and only its distinct values
-    are parsed, so traffic itself never passes through Python.
-    """
-    texts = traffic.select(F.trim(column).alias("spelling")).where(F.col("spelling").contains(":")).distinct()
-    alias = (
-        texts.withColumn("termination_media_ip", canonical_ip("spelling"))
-        .join(broadcast_if_small(watchlist), "termination_media_ip", "left_semi")
-    )
+    """The watchlist plus every other spelling of its addresses found in traffic."""
+    texts = traffic.select(F.trim(column).alias("spelling")).distinct()
+    alias = texts.withColumn("termination_media_ip", one_spelling(F.col("spelling"))).join(watchlist, "termination_media_ip", "left_semi")
     plain = watchlist.select(F.col("termination_media_ip").alias("spelling"), "termination_media_ip")
     return plain.unionByName(alias.select("spelling", "termination_media_ip")).distinct()
 
@@ -37,20 +29,17 @@ def spelled_out(traffic: DataFrame, watchlist: DataFrame, column: str = "term_me
 def watched_only(
     traffic: DataFrame, watchlist: DataFrame, column: str = "term_media_ip", any_spelling: bool = False
 ) -> DataFrame:
-    """Rows whose trimmed media address is on the list (checked broadcast).
+    """Rows whose trimmed media address is on the list.
 
-    With ``any_spelling`` other spellings of a listed version-6 address count too.
+    With ``any_spelling`` both sides are compared by the canonical text of the address, so other
+    spellings of a listed version-6 address count too.
     """
-    if any_spelling:
-        # One row per spelling, so the join cannot repeat a row.
-        spellings = broadcast_if_small(spelled_out(traffic, watchlist, column))
-        return traffic.withColumn("spelling", F.trim(column)).join(spellings, "spelling").drop("spelling")
-    listed = watchlist.select("termination_media_ip").distinct()
-    named = traffic.withColumn("termination_media_ip", F.trim(column))
-    return named.join(broadcast_if_small(listed), "termination_media_ip", "left_semi")
+    spelled = one_spelling if any_spelling else F.trim
+    listed = watchlist.select(spelled(F.col("termination_media_ip")).alias("termination_media_ip")).distinct()
+    return traffic.withColumn("termination_media_ip", spelled(F.col(column))).join(listed, "termination_media_ip", "left_semi")
 
 
-def watch_hits(media_rollup: DataFrame, watchlist: DataFrame, any_spelling: bool = False) -> DataFrame:
+def watch_hits(media_rollup: DataFrame, watchlist: DataFrame, any_spelling: bool = True) -> DataFrame:
     """Matching calls per hour and route, from the media rollup.
 
     On a stored rollup the source partition stays a key, so a reloaded source
@@ -92,7 +81,7 @@ def watched_records(
     in_window = (F.col("event_time") >= latest - F.expr("INTERVAL 24 HOURS")) & (
         F.col("event_time") < latest + F.expr("INTERVAL 1 HOUR")
     )
-    chosen = watched_only(records.where(in_window), watchlist)
+    chosen = watched_only(records.where(in_window), watchlist, any_spelling=True)
     if flt.media_ip is not None:
         chosen = chosen.where(F.col("termination_media_ip") == flt.media_ip)
     order = [F.desc("event_time"), F.asc("callid"), F.asc("call_start_time")]

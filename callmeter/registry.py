@@ -508,6 +508,23 @@ def _(spark, sf):
     return watchlist.watched_records(star_records(spark, sf), hits, _watchlist(spark))
 
 
+# Half of the addresses written as version 6, in two spellings each; the list has a third one.
+_LAST = "split_part(trim(term_media_ip), '.', 4)"
+_V6_SPELLED = f"""CASE WHEN term_media_ip = '(none)' THEN term_media_ip WHEN CAST({_LAST} AS INT) % 3 = 0 THEN ' 2001:DB8::' || {_LAST}
+WHEN CAST({_LAST} AS INT) % 3 = 1 THEN '2001:0db8:0000:0:0:0:0:' || lpad({_LAST}, 4, '0') ELSE term_media_ip END"""
+_V6_LIST = ("2001:db8:0::12", "2001:DB8::0:10", "203.0.113.50", "::FFFF:192.0.2.1")
+
+
+@query("watch_hits_v6", _panel(f"""
+SELECT hour, CASE WHEN CAST({_LAST} AS INT) = 50 THEN '203.0.113.50' ELSE '2001:db8::' || {_LAST} END AS termination_media_ip, entity, orig_trunk_group_name,
+term_carrier_name, term_trunk_group_name, term_ip, sum(attempts)::BIGINT AS matching_cdrs FROM media WHERE term_media_ip <> '(none)'
+AND CAST({_LAST} AS INT) IN (10, 12, 50) GROUP BY 1,2,3,4,5,6,7""", _MEDIA_SQL))
+def _(spark, sf):
+    """Watch hits where traffic and list spell the same version-6 addresses in different ways."""
+    traffic = _media(spark, sf).withColumn("term_media_ip", F.expr(_V6_SPELLED))
+    return watchlist.watch_hits(traffic, spark.createDataFrame([(ip,) for ip in _V6_LIST], WATCHLIST_SCHEMA))
+
+
 _LINE_SQL = "SELECT ' 203.0.113.' || (s_suppkey % 300) || ' ,bad-' || (s_suppkey % 7) || ';' || " \
             "'10.0.' || s_nationkey || '.1' AS line FROM supplier"
 _PIECES_SQL = f"SELECT DISTINCT unnest(regexp_split_to_array(line, '[\\s,;]+')) AS candidate FROM ({_LINE_SQL})"

@@ -1,4 +1,4 @@
-"""Session-level helpers: shared scratch space, checked broadcasts, file system."""
+"""Session-level helpers: shared scratch space and file system."""
 
 from __future__ import annotations
 
@@ -6,11 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Rows a side may have and still be broadcast (a few MB for the key tables here).
-BROADCAST_ROW_BOUND = 200_000
-
 
 def pin_utc(spark: SparkSession) -> SparkSession:
     """All hours, days and windows of this library are UTC."""
@@ -51,15 +46,6 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, bound: int = BROADCAST_ROW_BOUND) -> DataFrame:
-    """Broadcast ``df`` when it is proven to hold at most ``bound`` rows.
-
-    Larger sides come back unhinted, so the join is a shuffle join (which AQE
-    may split where keys are skewed).
-    """
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
-
-
 class Folder:
     """The few file-system calls needed around tables (Hadoop file system API)."""
 

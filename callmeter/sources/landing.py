@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from datetime import datetime, timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -163,47 +163,47 @@ def with_headers(files: DataFrame) -> DataFrame:
 
 # --- reading ---------------------------------------------------------------------------
 
-def read_text_cells(spark: SparkSession, header: list[str], paths: list[str]) -> DataFrame:
-    """All cells of files that share one header, as text.
+def _cell_count(raw: Column) -> Column:
+    """Cells of one raw record: separators outside quotes, and one more."""
+    bare = F.regexp_replace(raw, '"[^"]*"', "")
+    return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
 
-    An explicit schema binds by position, so only files with this very header
-    may be read together. Absent known columns come as ``''``; lines with a wrong
-    number of cells are marked ``malformed`` (which needs every cell parsed, so
-    the reader's own column pruning is off).
+
+def read_cells(spark: SparkSession, accepted: DataFrame) -> DataFrame:
+    """Text cells of all accepted files by column name, in one scan whatever their headers.
+
+    The scan binds by position, as wide as the widest header. Each file's header says at which position a
+    known column stands, and a join with that small table (one row per file of the job, which
+    the caller keeps short) picks the cells. Absent known columns come as ``''``. A record whose number
+    of cells is not that of its own header is marked ``malformed``: the reader reports every record that is not as wide as the scan, and
+    those are counted from their text. That needs every cell parsed, so the reader's own column pruning is off.
     """
-    fields = [T.StructField(f"c{i}", T.StringType()) for i in range(len(header))]
+    listed = accepted.select("file_path", F.size("header").alias("width")).collect()
+    widest = max(r["width"] for r in listed)
+    fields = [T.StructField(f"c{i}", T.StringType()) for i in range(widest)]
     schema = T.StructType([*fields, T.StructField(_CORRUPT, T.StringType())])
-    cells = (
+    scan = (
         spark.read.schema(schema)
         .option("header", True).option("escape", '"').option("multiLine", True)
         .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT)
         .option("columnPruning", False)
-        .csv(paths)
+        .csv(sorted(r["file_path"] for r in listed))
     )
-    empty = F.lit("")
-    place = {name: f"c{i}" for i, name in enumerate(header)}
-    known = [
-        (F.coalesce(F.col(place[n]), empty) if n in place else empty).alias(n) for n in SOURCE_COLUMNS
-    ]
     # Scans report URL-encoded paths, listings plain ones.
     encoded = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
-    return cells.select(
-        plain_path(F.url_decode(encoded)).alias("file_path"), *known,
-        F.col(_CORRUPT).isNotNull().alias("malformed"),
+    cells = scan.select(
+        plain_path(F.url_decode(encoded)).alias("file_path"),
+        F.array(*[f"c{i}" for i in range(widest)]).alias("cells"), F.col(_CORRUPT).alias("raw"),
     )
-
-
-def read_headers_apart(spark: SparkSession, accepted: DataFrame) -> DataFrame:
-    """Text cells of all accepted files: one read per distinct header, united by name.
-
-    ``accepted`` is one cycle's file list, which the caller keeps short.
-    """
-    groups = accepted.groupBy("header").agg(F.collect_list("file_path").alias("paths")).collect()
-    frames = [read_text_cells(spark, list(g["header"]), sorted(g["paths"])) for g in groups]
-    united = frames[0]
-    for frame in frames[1:]:
-        united = united.unionByName(frame)
-    return united
+    names = F.array(*[F.lit(n) for n in SOURCE_COLUMNS])
+    places = accepted.select(
+        "file_path", F.size("header").alias("width"),
+        F.transform(names, lambda n: F.array_position("header", n).cast("int") - 1).alias("places"),
+    )
+    met = cells.join(F.broadcast(places), "file_path")
+    empty = F.lit("")
+    known = [F.coalesce(F.get("cells", F.get("places", F.lit(i))), empty).alias(n) for i, n in enumerate(SOURCE_COLUMNS)]
+    return met.select("file_path", *known, (F.coalesce(_cell_count(F.col("raw")), F.lit(widest)) != F.col("width")).alias("malformed"))
 
 
 def typed_records(cells: DataFrame, files: DataFrame, ingested_at: datetime) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import date, datetime
 
@@ -109,7 +111,7 @@ class CallStore:
 
     @property
     def watchlist(self) -> DataFrame:
-        if not has_rows_on_disk(self.spark, self.path("watchlist")):
+        if not self.has_watchlist():
             return self.spark.createDataFrame([], WATCHLIST_SCHEMA)
         return self.spark.read.schema(WATCHLIST_SCHEMA).parquet(self.path("watchlist"))
 
@@ -128,8 +130,22 @@ class CallStore:
         self.watchlist.createOrReplaceTempView(prefix + "watchlist")
         self.manifest.latest.createOrReplaceTempView(prefix + "manifest")
 
+    def has_watchlist(self) -> bool:
+        return has_rows_on_disk(self.spark, self.path("watchlist"))
+
     # --- writing ------------------------------------------------------------
 
+    @contextmanager
+    def change(self) -> Iterator["CallStore"]:
+        """The writes of one load. Here each table changes by itself; see ``commits.VersionedStore`` for all at once."""
+        yield self
+
+    def put_watchlist(self, addresses: DataFrame) -> None:
+        addresses.write.mode("overwrite").parquet(self.path("watchlist"))
+
+    def drop_all(self, table: str) -> None:
+        Folder(self.spark).drop(self.path(table))
+
     def replace_hours(self, table: str, rows: DataFrame) -> None:
         """Overwrite exactly the source hours present in ``rows``."""
         write_hours(rows.select(*_SCHEMAS[table].names), self.path(table), _SORTED_BY[table])

@@ -1,11 +1,13 @@
 """Metric, dimension, predicate and parsing rules on hand-made rows."""
 
+import ipaddress
+import random
 from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from callmeter.functions import dims, metrics, predicates
+from callmeter.functions import dims, metrics, network, predicates
 from callmeter.functions.network import parse_addresses
 from callmeter.functions.parsing import best_effort_float, best_effort_timestamp, best_effort_uint
 from callmeter.operators.topk import ordering, top_rows, top_rows_per_group
@@ -216,6 +218,31 @@ def test_other_spellings_of_watched_addresses(spark):
     assert watchlist.watched_only(traffic, watch, any_spelling=True).count() == 2
 
 
+def test_addresses_agree_with_the_standard_library(spark, interpreted):
+    """Canonical text of many spellings, valid and not, as ``ipaddress`` has it; no Python runs in the plan."""
+    rng = random.Random(2)
+    texts = ["::", "::1", "1::", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8::", ":::", "1:::2", "::1::", ":1:2:3:4:5:6:7", "1:2:3:4:5:6:7:", "12345::", "g::",
+             "::1.2.3.4", "::ffff:1.2.3.4", "::FFFF:0102:0304", "64:ff9b::192.0.2.33", "1:2:3:4:5:6:1.2.3.4", "1:2:3:4:5:6:7:1.2.3.4", "::1.2.3", "::01.2.3.4", "1.2.3.4::", "fe80::1%eth0",
+             "fe80::A%", "1.2.3.4", "01.2.3.4", "256.1.1.1", "1.2.3", "1.2.3.4.5", "", " ", "name", "0:0:1:0:0:0:1:0", "1:0:0:2:0:0:3:4", "0:0:0:0:0:0:0:0", "0:1:0:1:0:1:0:1", "00::", "::ffff:0:0"]
+    for _ in range(300):
+        groups = [rng.choice(["0", "0", "00", "0000", "1", "Ab", "0f0", "ffff"]) for _ in range(rng.choice([8, 8, 8, 7, 9, 5]))]
+        text = ":".join(groups)
+        if rng.random() < 0.5:
+            cut = sorted(rng.sample(range(len(groups) + 1), 2))
+            text = ":".join(groups[: cut[0]]) + "::" + ":".join(groups[cut[1] :])
+        texts.append(text)
+
+    def expected(text):
+        try:
+            return str(ipaddress.ip_address(text))
+        except ValueError:
+            return None
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("c", network.canonical_ip("t"))
+    assert {r["t"]: r["c"] for r in df.collect()} == {t: expected(t) for t in texts}
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_gap_rows_of_the_reason_grid(spark):
     rows = [
         ("A", "NJ", "1", 200, "OK", 5), ("A", "NJ", "1", 503, "X", 3), ("B", "TX", "", 200, "OK", 9), ("B", "", "1", 200, "OK", 1),

@@ -251,6 +251,19 @@ def test_cold_store_skips_present_hours(place, spark, tmp_path):
     assert pq.ParquetFile(part).metadata.row_group(0).column(0).compression == "ZSTD"
 
 
+def test_cold_store_goes_past_refused_files(place, spark, tmp_path):
+    landing, _ = place
+    for n in range(3):
+        header = HEADER if n == 2 else [h for h in HEADER if h != "term_media_ip"]
+        hour_file(landing.root, "E0", H0 + timedelta(hours=n), [{"callid": f"c{n}"}], header=header, age_from=NOW)
+    cold, files = str(tmp_path / "cold"), src.discover(spark, landing, NOW, 30)
+
+    def run():
+        return [r["status"] for r in ingest.write_cold_store(files, cold, NOW, max_files=2).orderBy("file_hour").collect()]
+
+    assert [run(), run(), run()] == [["error", "error", "waiting"], ["error", "error", "ok"], ["error", "error", "skip"]]
+
+
 def test_older_files_read_null_for_new_columns(place, spark, tmp_path):
     landing, store = place
     hour_file(landing.root, "E0", H0, [{}], age_from=NOW)

@@ -18,6 +18,7 @@ from callmeter.sources.landing import HOUR_FOLDER, Landing
 from callmeter.sources.star_records import FIRST_DAY, LAST_DAY, STAR_ENTITIES, star_records
 from callmeter.sources.store import CallStore
 from callmeter.streaming.arrivals import watch_landing
+from callmeter.streaming import windows
 from callmeter.streaming.windows import hourly_windows
 
 SF = "/root/testdata/sf0.001"
@@ -189,3 +190,31 @@ def test_append_mode_holds_back_the_open_windows(spark, tmp_path):
         spark.read.parquet(f"{SF}/events.parquet").select(F.date_trunc("hour", "ts"), "event_type").distinct().count()
     )
     assert 0 < closed < batch
+
+
+def test_exact_windows_count_late_rows(spark, tmp_path):
+    path, state, arrivals = (str(tmp_path / n) for n in ("windows", "state", "arrivals"))
+    deliveries = (["10:05", "12:30"], ["10:59", "11:01", "12:59"], ["09:00", "13:10"])
+    for n, times in enumerate(deliveries):
+        rows = spark.createDataFrame([(datetime.fromisoformat(f"2026-01-05 {t}"), "a") for t in times], "ts timestamp, k string")
+        rows.coalesce(1).write.mode("append").parquet(arrivals)
+        stream = spark.readStream.schema(rows.schema).parquet(arrivals)
+        windows.exact_windows(stream, "ts", ["k"], {"n": F.count(F.lit(1))}, path, state).awaitTermination()
+    summed = windows.summed_windows(spark, path, ["k"], ["n"]).collect()
+    # 12:30 is the newest event before the second delivery: 10:59 is late by the hour, 11:01 is not; before the third it is 12:59.
+    assert {r["hour"].hour: (r["n"], r["late_rows"]) for r in summed} == {9: (1, 1), 10: (2, 1), 11: (1, 0), 12: (2, 0), 13: (1, 0)}
+    side = windows.late_arrivals(spark, path, ["k"]).collect()
+    assert sorted((r["batch_id"], r["hour"].hour, r["late_rows"]) for r in side) == [(1, 10, 1), (2, 9, 1)]
+
+
+def test_hot_set_is_served_by_request(spark, tmp_path):
+    store, at = SnapshotStore(spark, str(tmp_path)), datetime(2024, 1, 20, 12)
+    day = date(2024, 1, 20)
+    records = star_records(spark, SF)
+    snapshots.store_hot_set(records, store, "codes", day, STAR_ENTITIES, at, "run", limit=20)
+    assert store.index.count() == 30
+    params = report_params(day - timedelta(days=2), STAR_ENTITIES, end_date=day, entities=["E2"], limit=20)
+    rows, entry = store.serve("codes", params, lambda: pytest.fail("computed again"), at, "run2")
+    wanted = codes_report(records, params).rows
+    assert sorted(map(str, rows.select(*wanted.columns).collect())) == sorted(map(str, wanted.collect())) and rows.count() == 20
+    assert entry.first()["tier"] == "historical" and entry.count() == 1
