@@ -7,7 +7,7 @@ literal rule, which never backs off inside its own corpus.
 
 The count table is partitioned by hash. Documents are dealt to parts of a few megabytes; a part explodes
 its n-grams, combines equal ones, and asks each hash bucket for totals: one row per part and bucket, with the keys (40 bits
-within the bucket) and the part's own counts. A bucket adds up and answers; the answers meet the part's texts, which are shuffled
+within the bucket, in order, as differences) and the part's own counts. A bucket adds up and answers; the answers meet the part's texts, which are shuffled
 once. A common n-gram is one entry per part, so no bucket is hot. Two n-grams of a bucket share a key with
 a probability of about 2e-6, whatever the corpus size, since buckets have a bounded number of keys.
 """
@@ -45,31 +45,43 @@ def _ngrams(table: pa.Table, order: int, buckets: int) -> tuple[list[np.ndarray]
     return [np.concatenate(k) if k else nothing for k in keys], np.concatenate(rows) if rows else np.zeros(0, np.int64)
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Unsigned integers byte plane by byte plane, as many planes as the largest needs (their number first): high planes are mostly zeros, which the shuffle's codec takes out."""
+    raw = np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8)
+    width = max(1, (int(values.max()).bit_length() + 7) // 8)
+    return bytes([width]) + np.ascontiguousarray(raw[:, :width].T).tobytes()
+
+
+def _from_planes(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(packed, np.uint8, offset=1).reshape(packed[0], -1)
+    raw = np.zeros((planes.shape[1], 8), np.uint8)
+    raw[:, : packed[0]] = planes.T
+    return raw.view("<u8").ravel()
+
+
 def _ask(order: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
         keys, _ = _ngrams(table.select(["text"]), order, buckets)
         own, counts = np.unique(np.concatenate(keys), return_counts=True)
         bucket = (own >> np.uint64(40)).astype(np.int64)
         at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(own) else np.zeros(0, np.int64)
-        raw = own.view(np.uint8).reshape(-1, 8)[:, :5]
+        low = own & _LOW
         cut = list(zip(at.tolist(), [*at[1:].tolist(), len(own)], strict=True)) if len(at) else []
         return pa.table({
             "bucket": pa.array(bucket[at], pa.int64()), "part": pa.array([table.column("part")[0].as_py()] * len(at), pa.int64()),
-            "keys": pa.array([raw[a:b].tobytes() for a, b in cut], pa.binary()), "counts": pa.array([counts[a:b].astype("<u4").tobytes() for a, b in cut], pa.binary()),
+            "keys": pa.array([_planes(np.diff(low[a:b], prepend=np.uint64(0))) for a, b in cut], pa.binary()), "counts": pa.array([_planes(counts[a:b]) for a, b in cut], pa.binary()),
         })
 
     return run
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    keys = [np.frombuffer(k, np.uint8).reshape(-1, 5) for k in table.column("keys").to_pylist()]
-    whole = np.zeros((sum(map(len, keys)), 8), np.uint8)
-    whole[:, :5] = np.concatenate(keys)
-    _, inverse = np.unique(whole.view("<u8").ravel(), return_inverse=True)
-    counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), "<u4")
+    keys = [np.cumsum(_from_planes(k)) for k in table.column("keys").to_pylist()]
+    _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    counts = np.concatenate([_from_planes(c) for c in table.column("counts").to_pylist()])
     totals = np.bincount(inverse, counts).astype("<u8")[inverse]
     at = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).tolist()
-    return pa.table({"part": table.column("part"), "bucket": table.column("bucket"), "totals": pa.array([totals[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())})
+    return pa.table({"part": table.column("part"), "bucket": table.column("bucket"), "totals": pa.array([_planes(totals[a:b]) for a, b in zip(at, at[1:], strict=False)], pa.binary())})
 
 
 def _score(order: int, buckets: int, alpha: float, least: int):
@@ -77,7 +89,8 @@ def _score(order: int, buckets: int, alpha: float, least: int):
         keys, rows = _ngrams(texts.select(["text"]), order, buckets)
         own = np.unique(np.concatenate(keys))
         answers = answers.sort_by("bucket")
-        totals = np.frombuffer(b"".join(answers.column("totals").to_pylist()), "<u8").astype(np.float64)
+        replies = [_from_planes(t) for t in answers.column("totals").to_pylist()]
+        totals = (np.concatenate(replies) if replies else np.zeros(0)).astype(np.float64)
         count = [totals[np.searchsorted(own, k)] if len(k) else np.zeros(0) for k in keys]
         known = [k != 0 for k in keys]
         score = np.log(count[0]) if len(rows) else np.zeros(0)  # the corpus size is taken off afterwards
