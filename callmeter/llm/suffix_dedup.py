@@ -33,7 +33,7 @@ class RunIndex:
 
     @classmethod
     def build(cls, fragments: list[np.ndarray], ids: np.ndarray, window: int) -> RunIndex:
-        """Prefix doubling over the joined fragments; their ends are one symbol below all bytes."""
+        """Prefix doubling over the joined fragments, ever fewer of whose places are sorted; their ends are one symbol below all bytes."""
         sizes = np.array([len(f) for f in fragments])
         ends = np.cumsum(sizes + 1) - 1
         text = np.zeros(ends[-1] + 1, np.int64)
@@ -44,18 +44,13 @@ class RunIndex:
         for j in range(1, 7):
             seven *= 512
             seven[:-j] += text[j:]
-        rank, depth = cls._dense(seven), 7
-
-        def deeper(left: np.ndarray, by: int) -> np.ndarray:
-            right = np.zeros(len(text), np.int64)
-            right[:-by] = left[by:] + 1
-            return cls._dense(left * (len(text) + 2) + right)
-
-        while depth * 2 <= window:
-            rank, depth = deeper(rank, depth), depth * 2
-        prefix = rank if depth == window else deeper(rank, window - depth)
-        while rank.max() + 1 < len(text):
-            rank, depth = deeper(rank, depth), depth * 2
+        (rank, ties), depth = cls._ranks(seven), 7
+        while depth < window:
+            by = min(depth, window - depth)
+            (rank, ties), depth = cls._deeper(rank, ties, by), depth + by
+        prefix = rank
+        while len(ties):
+            (rank, ties), depth = cls._deeper(rank, ties, depth), depth * 2
         order = np.empty(len(text), np.int64)  # the suffix array, dropped after the build
         order[rank] = np.arange(len(text))
         heads = text[order - 1]
@@ -70,12 +65,32 @@ class RunIndex:
         return cls(run_starts, leads, order[run_starts + lengths - 1], classes, np.minimum.reduceat(owner[order], classes), rank[ends])
 
     @staticmethod
-    def _dense(keys: np.ndarray) -> np.ndarray:
+    def _ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many keys are smaller, for each; and the places whose key is not the only one of its kind."""
         order = np.argsort(keys)
-        new = np.concatenate([[0], np.diff(keys[order]) != 0])
-        out = np.empty(len(keys), np.int64)
-        out[order] = np.cumsum(new)
-        return out
+        first = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0]))
+        sizes = np.diff(np.append(first, len(keys)))
+        rank = np.empty(len(keys), np.int64)
+        rank[order] = np.repeat(first, sizes)
+        return rank, order[np.repeat(sizes > 1, sizes)]
+
+    @staticmethod
+    def _deeper(rank: np.ndarray, ties: np.ndarray, by: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks by ``by`` more symbols. Only places that share their rank are sorted again: all others have their final one."""
+        if not len(ties):
+            return rank, ties
+        after = np.append(rank + 1, 0)[np.minimum(ties + by, len(rank))]
+        keys = rank[ties] * (len(rank) + 2) + after
+        order = np.argsort(keys)
+        ties, keys = ties[order], keys[order]
+        old = rank[ties]
+        group = np.flatnonzero(np.concatenate([[True], old[1:] != old[:-1]]))
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        sizes = np.diff(np.append(first, len(ties)))
+        begins = group[np.searchsorted(group, first, side="right") - 1]
+        out = rank.copy()
+        out[ties] = np.repeat(old[first] + first - begins, sizes)
+        return out, ties[np.repeat(sizes > 1, sizes)]
 
     def step(self, rows: np.ndarray) -> np.ndarray:
         """LF: the rows of the suffixes that begin one position earlier."""
