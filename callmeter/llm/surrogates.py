@@ -1,9 +1,9 @@
 """Personal data replaced by keyed surrogates of the same kind; DataFrame functions only.
 
 One pattern finds e-mail addresses, phone and card numbers, internet addresses, long secrets and titled
-names. Values are mentions of entities: lower-cased addresses, digits, a given name with its gender, a family name. Every distinct
+names; in a text that holds a titled name, its given and family names are found without the title too. Values are mentions of entities: lower-cased addresses, digits, a given name with its gender, a family name. Every distinct
 entity gets a surrogate from a keyed hash (SHA-256 over key, kind, entity and attempt), and a mention is written in its own format: digits for digits, small letters for small ones, separators and
-country code as they are, octets in range, a title's gender and a name's script kept. A family name has four syllables and two more with every attempt, so there are always enough. A surrogate that another entity has, or
+country code as they are, octets in range, valid check digits where the value has them, an address of version 6 short or full, a title's gender and a name's script kept. A family name has four syllables and two more with every attempt, so there are always enough. A surrogate that another entity has, or
 that is itself an entity of the corpus, is drawn again with the next attempt, so distinct entities stay distinct and one entity
 has one surrogate in whatever format it is mentioned.
 """
@@ -22,8 +22,10 @@ MALE, FEMALE = "Mr|Herr|Monsieur|Señor|Господин|г-н", "Mrs|Ms|Miss|Fr
 KINDS = {
     "email": r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+",
     "ip": r"(?<![0-9.])(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}(?![0-9]|\.[0-9])",
+    "ip6": r"(?<![0-9A-Za-z:.])(?=[A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9A-Fa-f]{4}(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![0-9A-Za-z:])",
     "phone": r"(?<![0-9])\+[0-9]{1,3}[ .-]?\([0-9]{1,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9.])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])",
     "national": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "local": r"(?<![0-9.-])0[1-9][0-9]{2,3}[ -][0-9]{5,6}(?![0-9]|[.-][0-9])",
     "card": r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])",
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "secret": r"(?<![A-Za-z0-9])(?=[a-fA-F]*[0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9])",
@@ -68,6 +70,41 @@ def _like(value: Column, stream: Column, keep: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), F.length(value) - 1), drawn), "")
 
 
+def _luhn(digits: Column) -> Column:
+    """Check sum of a card number: 0 where its last digit is right."""
+    n = F.length(digits)
+
+    def added(total: Column, i: Column) -> Column:
+        digit = F.substring(digits, i, F.lit(1)).cast("int")
+        twice = digit * 2 - F.when(digit > 4, 9).otherwise(0)
+        return total + F.when(F.pmod(n - i, F.lit(2)) == 1, twice).otherwise(digit)
+
+    return F.pmod(F.aggregate(F.sequence(F.lit(1), n), F.lit(0), added), F.lit(10))
+
+
+def _mod97(account: Column) -> Column:
+    """Remainder of an account number with its first four characters put last, letters as 10 to 35: 1 where its check digits are right."""
+    moved = F.concat(F.substring(account, F.lit(5), F.length(account)), F.substring(account, 1, 4))
+
+    def added(rest: Column, i: Column) -> Column:
+        code = F.ascii(F.substring(moved, i, F.lit(1)))
+        return F.pmod(F.when(code < 58, rest * 10 + code - 48).otherwise(rest * 100 + code - 55), F.lit(97))
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(moved)), F.lit(0), added)
+
+
+def _checked_card(entity: Column, drawn: Column) -> Column:
+    body = F.substring(drawn, F.lit(1), F.length(drawn) - 1)
+    check = F.pmod(10 - _luhn(F.concat(body, F.lit("0"))), F.lit(10))
+    return F.when(_luhn(entity) == 0, F.concat(body, check.cast("string"))).otherwise(drawn)
+
+
+def _checked_account(entity: Column, drawn: Column) -> Column:
+    country, body = F.substring(drawn, 1, 2), F.substring(drawn, F.lit(5), F.length(drawn))
+    check = 98 - _mod97(F.concat(country, F.lit("00"), body))
+    return F.when(_mod97(entity) == 1, F.concat(country, F.lpad(check.cast("string"), 2, "0"), body)).otherwise(drawn)
+
+
 def _spelled(stream: Column, script: Column, n: Column) -> Column:
     out = F.lit("")
     for s, parts in SYLLABLES.items():
@@ -82,15 +119,20 @@ def _surrogate(key: str) -> Column:
     seed = F.concat_ws("\u0001", F.lit(key), "kind", "entity", attempt.cast("string"))
     stream = F.concat(*[F.sha2(F.concat_ws("\u0001", seed, F.lit(str(k))), 256) for k in range(4)])
     octet = lambda k: _nibble(stream, F.lit(k)).cast("string")
+    # The private range first, the reserved one when that is full, then any.
+    first = F.when(attempt < 8, "10").when(attempt < 24, (F.pmod(_nibble(stream, F.lit(3)), F.lit(15)) + 240).cast("string")).otherwise(octet(3))
     script = F.when(entity.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
     given = F.lit("")
     for (g, s), names in NAMES.items():
         given = F.when((kind == f"given {g}") & (script == s), F.element_at(F.array(*map(F.lit, names)), F.pmod(_nibble(stream, F.lit(0)), F.lit(16)) + 1)).otherwise(given)
     return (
         F.when(kind == "email", F.concat(_like(F.substring_index(entity, "@", 1), stream, F.lit(0)), F.lit("."), F.substring(stream, 200, 8), F.lit("@example.org")))
-        .when(kind == "ip", F.concat(F.lit("10."), F.concat_ws(".", octet(0), octet(1), octet(2))))
+        .when(kind == "ip", F.concat_ws(".", first, octet(0), octet(1), octet(2)))
+        .when(kind == "ip6", F.concat(F.lit("20010db80000"), F.substring(stream, 1, 20)))
+        .when(kind == "local", _like(entity, stream, F.lit(2)))
+        .when(kind == "card", _checked_card(entity, _like(entity, stream, F.lit(0))))
         .when(kind == "phone", _like(entity, stream, F.length(F.regexp_extract(entity, CALLING_CODE, 1))))
-        .when(kind == "account", _like(entity, stream, F.lit(2)))
+        .when(kind == "account", _checked_account(entity, _like(entity, stream, F.lit(2))))
         .when(kind == "secret", F.substring(stream, F.lit(1), F.length(entity)))
         .when(kind == "family", F.initcap(_spelled(stream, script, 4 + 2 * attempt)))
         .when(kind.startswith("given"), F.when(attempt == 0, given).otherwise(F.concat(given, _spelled(stream, script, 2 * attempt))))
@@ -119,24 +161,64 @@ def _distinct_surrogates(entities: DataFrame, key: str) -> DataFrame:
 
 
 TITLE = rf"^((?:{FEMALE}|{MALE})\.? )"
+#: Mentions of a person; all but the first stand without a title.
+NAMED = ("name", "full female", "full male", "given female", "given male", "family")
+
+
+def _title_and_words(value: Column) -> tuple[Column, Column]:
+    """Gender by the title (male without one) and the words of a name."""
+    female = F.regexp_extract(value, TITLE, 1).rlike(rf"^(?:{FEMALE})\.? $")
+    return F.when(female, "female").otherwise("male"), F.split(F.regexp_replace(value, TITLE, ""), " ")
+
+
+def _aliases(found: Column) -> Column:
+    """What the titled names among ``found`` are called without a title, as sorted ``name \1 kind`` with each name once."""
+
+    def names(value: Column) -> Column:
+        gender, words = _title_and_words(value)
+        alias = lambda name, *kind: F.concat(name, F.lit("\u0001"), *kind)
+        family = alias(F.element_at(words, -1), F.lit("family"))
+        given = alias(F.element_at(words, 1), F.lit("given "), gender)
+        return F.when(F.size(words) > 1, F.array(alias(F.array_join(words, " "), F.lit("full "), gender), given, family)).otherwise(F.array(family))
+
+    every = F.sort_array(F.array_distinct(F.flatten(F.transform(F.filter(found, lambda v: v.rlike(f"^(?:{KINDS['name']})$")), names))))
+    return F.filter(every, lambda v, i: (i == 0) | (_before(v) != _before(F.get(every, i - 1))))
+
+
+def _before(alias: Column) -> Column:
+    return F.substring_index(alias, "\u0001", 1)
+
+
+def _hextets(value: Column) -> Column:
+    """The 32 digits of an address of version 6."""
+    side = lambda k: F.filter(F.split(F.substring_index(F.lower(value), "::", k), ":"), lambda g: g != "")
+    short = value.contains("::")
+    zeros = F.array_repeat(F.lit("0"), F.greatest(8 - F.size(side(1)) - F.size(side(-1)), F.lit(0)))
+    groups = F.when(short, F.concat(side(1), zeros, side(-1))).otherwise(F.split(F.lower(value), ":"))
+    return F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), "")
 
 
 def _entities() -> Column:
     """From columns ``kind, value``: the entities it mentions, in order. A number without a country code is one of country 1."""
     kind, value = F.col("kind"), F.col("value")
     bare = F.regexp_replace(value, "[^A-Za-z0-9]", "")
-    title = F.regexp_extract(value, TITLE, 1)
-    words = F.split(F.regexp_replace(value, TITLE, ""), " ")
-    gender = F.when(title.rlike(rf"^(?:{FEMALE})\.? $"), "given female").otherwise("given male")
+    gender, words = _title_and_words(value)
     entity = lambda k, e: F.struct(k.alias("kind"), e.alias("entity"))
     family = entity(F.lit("family"), F.element_at(words, -1))
+    titled = F.when(F.size(words) > 1, F.array(entity(F.concat(F.lit("given "), gender), F.element_at(words, 1)), family)).otherwise(F.array(family))
     plain = (
         F.when(kind.isin("email", "secret"), F.lower(value))
         .when(kind == "ip", F.array_join(F.transform(F.split(value, r"\."), lambda o: o.cast("int").cast("string")), "."))
+        .when(kind == "ip6", _hextets(value))
         .when((kind == "phone") & ~value.startswith("+"), F.concat(F.lit("1"), bare))
         .otherwise(bare)
     )
-    return F.when(kind != "name", F.array(entity(kind, plain))).when(F.size(words) > 1, F.array(entity(gender, F.element_at(words, 1)), family)).otherwise(F.array(family))
+    return (
+        F.when(kind == "name", titled)
+        .when(kind.startswith("full "), F.array(entity(F.replace(kind, F.lit("full"), F.lit("given")), F.element_at(words, 1)), family))
+        .when(kind.isin("family", "given female", "given male"), F.array(entity(kind, value)))
+        .otherwise(F.array(entity(kind, plain)))
+    )
 
 
 def _rendered() -> Column:
@@ -149,10 +231,14 @@ def _rendered() -> Column:
         old = F.substring(value, i + 1, F.lit(1))
         return F.when(old.rlike("[A-Za-z0-9]"), F.substring(one, ahead + bare(F.substring(value, F.lit(1), i + 1)), F.lit(1))).otherwise(old)
 
-    cased = F.when((value == F.upper(value)) & (value != F.lower(value)), F.upper(one)).otherwise(one)
+    like_value = lambda c: F.when((value == F.upper(value)) & (value != F.lower(value)), F.upper(c)).otherwise(c)
+    group = lambda k: F.substring(one, 4 * k + 1, 4)
+    short = F.concat(F.lit("2001:db8::"), F.concat_ws(":", *[F.regexp_replace(group(k), "^0{1,3}", "") for k in range(3, 8)]))
+    full = F.concat_ws(":", *[group(k) for k in range(8)])
     return (
-        F.when(kind == "name", F.concat(F.regexp_extract(value, TITLE, 1), F.array_join("drawn", " ")))
-        .when(kind == "ip", one).when(kind.isin("email", "secret"), cased)
+        F.when(kind.isin(*NAMED), F.concat(F.regexp_extract(value, TITLE, 1), F.array_join("drawn", " ")))
+        .when(kind == "ip", one).when(kind.isin("email", "secret"), like_value(one))
+        .when(kind == "ip6", like_value(F.when(value.contains("::"), short).otherwise(full)))
         .otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.length(value) - 1), placed), ""))
     )
 
@@ -170,21 +256,35 @@ def replaced(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text") ->
 
     A null text stays null with 0 places. Rows are independent of their ids: repeated rows, ties and null ids are
     all kept. Values are replaced the same way in all rows. Rows without values are never shuffled. An empty table gives no rows.
+    Extra columns of any name are kept, but for a given ``n_private``, whose place the count takes.
+    A text is matched once; its values and what stands between them are written and read again.
     """
-    columns = docs.columns
-    text = F.col(text_col)
+    kept = [c for c in docs.columns if c.lower() != "n_private"]
+    own = {c: docs[f"`{c}`"] for c in kept}
+    text = docs[f"`{text_col}`"]
     possible = reduce(lambda a, b: a | b, [text.contains(t) for t in STEMS], text.rlike("[0-9@]"))
     has = F.coalesce(possible & text.rlike(PATTERN), F.lit(False))
-    clean = docs.where(~has).withColumn("n_private", F.lit(0).cast("long"))
-    hit = docs.where(has).withColumn("_found", F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
-    table = surrogate_table(hit.select(F.explode("_found").alias("value")).select(_kind(F.col("value")).alias("kind"), "value").where("kind is not null"), key)
+    clean = docs.where(~has).select(*own.values(), F.lit(0).cast("long").alias("n_private"))
+    row = F.struct(*[F.lit("").alias(c) if c == text_col else own[c].alias(c) for c in kept])
+    hit = docs.where(has).select(row.alias("row"), text.alias("text"))
+    titled = reduce(lambda a, b: a | b, [F.col("text").contains(t) for t in STEMS])
+    hit = hit.withColumn("alias", F.when(titled, _aliases(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))).otherwise(F.array().cast("array<string>")))
+    # Descending, so that a whole name comes before its first word.
+    calls = F.array_join(F.reverse(F.transform("alias", _before)), "|")
+    pattern = F.when(F.size("alias") > 0, F.concat(F.lit(PATTERN + r"|(?<!\p{L})(?:"), calls, F.lit(r")(?!\p{L})"))).otherwise(PATTERN)
+    hit = hit.withColumn("pattern", pattern)
+    called = F.map_from_arrays(F.transform("alias", _before), F.transform("alias", lambda a: F.substring_index(a, "\u0001", -1)))
+    mention = lambda v: F.struct(F.coalesce(F.try_element_at(called, v), _kind(v)).alias("kind"), v.alias("value"))
+    hit = written(hit.select(
+        "row", F.xxhash64("text").alias("h"), F.sha2("text", 256).alias("s"), F.split("text", F.col("pattern"), -1).alias("between"),
+        F.transform(F.regexp_extract_all("text", F.col("pattern"), F.lit(0)), mention).alias("mentions"),
+    ), "surrogates")
     # Rows are told apart by their text: equal texts have equal replacements.
-    each = hit.select(F.xxhash64(text).alias("_h"), F.sha2(text, 256).alias("_s"), F.explode(F.array_distinct("_found")).alias("value")).distinct()
-    pairs = each.join(table, "value").groupBy("_h", "_s").agg(F.collect_list(F.struct("value", "surrogate")).alias("_pairs"))
-    marked = hit.withColumn("_h", F.xxhash64(text)).withColumn("_s", F.sha2(text, 256)).join(pairs, ["_h", "_s"], "left")
-    known = F.coalesce(F.map_from_entries("_pairs"), F.create_map().cast("map<string,string>"))
-    fresh = F.transform("_found", lambda v: F.coalesce(F.element_at("_known", v), v))
-    between = F.split(text, PATTERN, -1)
-    whole = F.array_join(F.zip_with(between, F.col("_fresh"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    done = marked.withColumn("_known", known).withColumn("_fresh", fresh).withColumn(text_col, whole).withColumn("n_private", F.size("_found").cast("long"))
-    return done.select(*columns, "n_private").unionByName(clean)
+    each = hit.select("h", "s", F.explode("mentions").alias("m")).select("h", "s", "m.kind", "m.value").where("kind is not null").distinct()
+    table = surrogate_table(each.select("kind", "value"), key)
+    named = lambda kind, value: F.concat(kind, F.lit("\u0001"), value)
+    pairs = each.join(table, ["kind", "value"]).groupBy("h", "s").agg(F.map_from_entries(F.collect_list(F.struct(named(F.col("kind"), F.col("value")), "surrogate"))).alias("known"))
+    fresh = F.transform("mentions", lambda m: F.coalesce(F.try_element_at("known", named(m["kind"], m["value"])), m["value"]))
+    whole = F.array_join(F.zip_with("between", fresh, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    done = hit.join(pairs, ["h", "s"], "left")
+    return done.select(*[whole.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in kept], F.size("mentions").cast("long").alias("n_private")).unionByName(clean)

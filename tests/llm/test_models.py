@@ -1,5 +1,6 @@
 """Toxicity on held-out labels, surrogates as an exact rewriting, and the pipeline's stages."""
 
+import ipaddress
 import re
 
 import pytest
@@ -92,6 +93,68 @@ def test_one_entity_in_several_formats(spark):
     assert re.fullmatch(r"Господин [А-Я][а-я]+", by["Господин Иванов"]) and by["Господин Иванов"] != "Господин Иванов"
 
 
+def test_names_without_their_title(spark):
+    text = "Mr. John Smith came. John Smith left; Smith slept, John too. Smithson, McSmith and Johnny stay. Mrs. Anna Smith and Anna."
+    other = "Smith and John are nobody here, but Mr. Smith is in ann@x.org."
+    docs = spark.createDataFrame([(1, text), (2, text), (3, other), (4, "John Smith alone")], "doc_id long, text string")
+    by = {r.doc_id: r for r in surrogates.replaced(docs).collect()}
+    made = re.fullmatch(
+        r"Mr\. (\w+) (\w+) came\. \1 \2 left; \2 slept, \1 too\. Smithson, McSmith and Johnny stay\. Mrs\. (\w+) \2 and \3\.", by[1].text)
+    assert made and made.group(1) != "John" and made.group(2) != "Smith" and made.group(3) not in ("Anna", made.group(1))
+    assert by[1].text == by[2].text and by[1].n_private == 6
+    assert re.match(rf"{made.group(2)} and John are nobody here, but Mr\. {made.group(2)} is in \S+@example\.org\.$", by[3].text)
+    assert (by[4].text, by[4].n_private) == ("John Smith alone", 0)
+
+
+def _luhn(digits):
+    return sum(sum(divmod(2 * int(d), 10)) if k % 2 else int(d) for k, d in enumerate(reversed(digits))) % 10
+
+
+def _mod97(account):
+    return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97
+
+
+def test_check_digits(spark):
+    cards = ["4111 1111 1111 1111", "5500005555555559", "4111-1111-1111-1112", *[f"4{k:014d}{-_luhn(f'4{k:014d}0') % 10}" for k in range(300)]]
+    accounts = ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "DE44500105175407324930"]
+    rows = [("card", c) for c in cards] + [("account", a) for a in accounts]
+    by = {r.value: r.surrogate for r in surrogates.surrogate_table(spark.createDataFrame(rows, "kind string, value string")).collect()}
+    assert len(by) == len(rows) and all(len(a) == len(b) and a != b for a, b in by.items())
+    right = [c for c in cards if _luhn(re.sub(r"\D", "", c)) == 0]
+    assert len(right) == 302 and all(_luhn(re.sub(r"\D", "", by[c])) == 0 for c in right)
+    assert re.fullmatch(r"\d{4}-\d{4}-\d{4}-\d{4}", by[cards[2]])
+    for account in accounts[:2]:
+        assert _mod97(account.replace(" ", "")) == 1 == _mod97(by[account].replace(" ", ""))
+    assert re.fullmatch(r"DE\d\d( \d{4}){4} \d\d", by[accounts[0]]) and re.fullmatch(r"GB\d\d[A-Z]{4}\d{14}", by[accounts[1]])
+
+
+def test_addresses_of_version_6_and_local_numbers(spark):
+    text = "from 2001:4860:4860::8888 or 2001:4860:4860:0000:0000:0000:0000:8888, FE80::1A, at 12:34:56, std::dec, x[1::2], call 07911 123456."
+    row = surrogates.replaced(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    made = re.fullmatch(r"from (\S+) or (\S+), (\S+), at 12:34:56, std::dec, x\[1::2\], call (07\d{3} \d{6})\.", row.text)
+    assert made and row.n_private == 4 and made.group(4) != "07911 123456"
+    one, two, third = (ipaddress.ip_address(made.group(k)) for k in (1, 2, 3))
+    assert one == two != third and one in ipaddress.ip_network("2001:db8::/32") and "::" in made.group(1) and len(made.group(2)) == 39
+    assert made.group(3) == made.group(3).upper()
+
+
+def test_extra_columns_of_any_name(spark):
+    names = ["_found", "_known", "_fresh", "_h", "_s", "_pairs", "n_private", "row", "h", "s", "mentions", "between", "known", "alias", "pattern", "a.b"]
+    docs = spark.createDataFrame([(1, "card 4111111111111111"), (2, "none"), (3, None)], "doc_id long, text string")
+    wide = docs.select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    rows = surrogates.replaced(wide).collect()
+    plain = {r.doc_id: (r.text, r.n_private) for r in surrogates.replaced(docs).collect()}
+    assert {r.doc_id: (r.text, r.n_private) for r in rows} == plain and plain[1][1] == 1
+    assert all(r[n] == k for r in rows for k, n in enumerate(names) if n != "n_private")
+
+
+def test_very_long_texts(spark):
+    text = " ".join(f"word{k} user{k % 500}@mail.example.com" for k in range(20_000))
+    row = surrogates.replaced(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.n_private == 20_000 and "mail.example.com" not in row.text
+    assert len(set(re.findall(r"\S+@\S+", row.text))) == 500 and re.findall(r"word\d+", row.text) == [f"word{k}" for k in range(20_000)]
+
+
 def test_more_names_than_four_syllables_spell(spark):
     made = F.initcap(F.translate(F.format_string("%06d", "id"), "0123456789", "abcdefghij"))
     values = spark.range(66_000).select(F.lit("name").alias("kind"), F.concat(F.lit("Mr. "), made).alias("value"))
