@@ -10,6 +10,7 @@ has one surrogate in whatever format it is mentioned.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -46,6 +47,11 @@ NAMES = {
 SYLLABLES = {"latin": ["ba", "de", "fi", "go", "ka", "le", "mi", "no", "pa", "re", "si", "to", "va", "ne", "ri", "lo"], "cyrillic": ["ба", "де", "фи", "го", "ка", "ле", "ми", "но", "па", "ре", "си", "то", "ва", "не", "ри", "ло"]}
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often ``use`` and its lambdas refer to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _kind(value: Column) -> Column:
     found = F.lit(None).cast("string")
     for kind, pattern in reversed(KINDS.items()):
@@ -84,24 +90,24 @@ def _luhn(digits: Column) -> Column:
 
 def _mod97(account: Column) -> Column:
     """Remainder of an account number with its first four characters put last, letters as 10 to 35: 1 where its check digits are right."""
-    moved = F.concat(F.substring(account, F.lit(5), F.length(account)), F.substring(account, 1, 4))
 
     def added(rest: Column, i: Column) -> Column:
-        code = F.ascii(F.substring(moved, i, F.lit(1)))
+        place = F.pmod(i + 3, F.length(account)) + 1
+        code = F.ascii(F.substring(account, place, F.lit(1)))
         return F.pmod(F.when(code < 58, rest * 10 + code - 48).otherwise(rest * 100 + code - 55), F.lit(97))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(moved)), F.lit(0), added)
+    return F.aggregate(F.sequence(F.lit(1), F.length(account)), F.lit(0), added)
 
 
 def _checked_card(entity: Column, drawn: Column) -> Column:
     body = F.substring(drawn, F.lit(1), F.length(drawn) - 1)
-    check = F.pmod(10 - _luhn(F.concat(body, F.lit("0"))), F.lit(10))
+    check = F.pmod(10 - _once(F.concat(body, F.lit("0")), _luhn), F.lit(10))
     return F.when(_luhn(entity) == 0, F.concat(body, check.cast("string"))).otherwise(drawn)
 
 
 def _checked_account(entity: Column, drawn: Column) -> Column:
     country, body = F.substring(drawn, 1, 2), F.substring(drawn, F.lit(5), F.length(drawn))
-    check = 98 - _mod97(F.concat(country, F.lit("00"), body))
+    check = 98 - _once(F.concat(country, F.lit("00"), body), _mod97)
     return F.when(_mod97(entity) == 1, F.concat(country, F.lpad(check.cast("string"), 2, "0"), body)).otherwise(drawn)
 
 
@@ -115,9 +121,13 @@ def _spelled(stream: Column, script: Column, n: Column) -> Column:
 
 def _surrogate(key: str) -> Column:
     """From columns ``kind, entity, attempt``: the surrogate of that attempt."""
+    seed = F.concat_ws("\u0001", F.lit(key), "kind", "entity", F.col("attempt").cast("string"))
+    return _once(F.concat(*[F.sha2(F.concat_ws("\u0001", seed, F.lit(str(k))), 256) for k in range(4)]), _drawn)
+
+
+def _drawn(stream: Column) -> Column:
+    """The surrogate of columns ``kind, entity, attempt`` out of a stream of hash digits."""
     entity, attempt, kind = F.col("entity"), F.col("attempt"), F.col("kind")
-    seed = F.concat_ws("\u0001", F.lit(key), "kind", "entity", attempt.cast("string"))
-    stream = F.concat(*[F.sha2(F.concat_ws("\u0001", seed, F.lit(str(k))), 256) for k in range(4)])
     octet = lambda k: _nibble(stream, F.lit(k)).cast("string")
     # The private range first, the reserved one when that is full, then any.
     first = F.when(attempt < 8, "10").when(attempt < 24, (F.pmod(_nibble(stream, F.lit(3)), F.lit(15)) + 240).cast("string")).otherwise(octet(3))
@@ -130,9 +140,9 @@ def _surrogate(key: str) -> Column:
         .when(kind == "ip", F.concat_ws(".", first, octet(0), octet(1), octet(2)))
         .when(kind == "ip6", F.concat(F.lit("20010db80000"), F.substring(stream, 1, 20)))
         .when(kind == "local", _like(entity, stream, F.lit(2)))
-        .when(kind == "card", _checked_card(entity, _like(entity, stream, F.lit(0))))
+        .when(kind == "card", _once(_like(entity, stream, F.lit(0)), lambda drawn: _checked_card(entity, drawn)))
         .when(kind == "phone", _like(entity, stream, F.length(F.regexp_extract(entity, CALLING_CODE, 1))))
-        .when(kind == "account", _checked_account(entity, _like(entity, stream, F.lit(2))))
+        .when(kind == "account", _once(_like(entity, stream, F.lit(2)), lambda drawn: _checked_account(entity, drawn)))
         .when(kind == "secret", F.substring(stream, F.lit(1), F.length(entity)))
         .when(kind == "family", F.initcap(_spelled(stream, script, 4 + 2 * attempt)))
         .when(kind.startswith("given"), F.when(attempt == 0, given).otherwise(F.concat(given, _spelled(stream, script, 2 * attempt))))
