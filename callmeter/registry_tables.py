@@ -28,7 +28,7 @@ from callmeter.sources import landing as src
 from callmeter.sources.commits import VersionedStore
 from callmeter.sources.landing import HOUR_FOLDER, Landing
 from callmeter.sources.manifest import already_loaded, decide, load_problems
-from callmeter.sources.sinks import write_csv, write_json
+from callmeter.sources.sinks import CODE_EXPORT_COLUMNS, complete_only, write_csv, write_json
 from callmeter.sources.star_records import FIRST_DAY, LAST_DAY, STAR_ENTITIES, WATCHED, read_table, star_area_codes, star_records, write_hour_files
 from callmeter.sources.store import store_stats
 from callmeter.streaming.arrivals import stream_media_partials, watch_landing
@@ -349,6 +349,15 @@ def _(spark, sf):
     return missing_days(needed_days(spark, STAR_ENTITIES, FIRST_DAY, LAST_DAY), chosen)
 
 
+@query("guarded_export", _with(f"SELECT {', '.join(CODE_EXPORT_COLUMNS)} FROM ({_top(_grouped_sql(reports.CODE_KEYS), 'revenue DESC', reports.CODE_KEYS)})"))
+def _(spark, sf):
+    """The code report for export; every day that has calls must be in the list of files, or the plan fails."""
+    records = star_records(spark, sf)
+    days = records.select("entity", F.to_date("file_hour").alias("day")).distinct()
+    report = reports.codes_report(records, PARAMS)
+    return complete_only(report.rows, missing_days(days, _files_and_log(spark, sf)[0]), cap=PARAMS.limit).select(*CODE_EXPORT_COLUMNS)
+
+
 @query("already_loaded", f"""WITH {CDR}, {_FILES_SQL}
 SELECT f.file_path FROM files f JOIN log USING (file_path)
 WHERE log.source_size = f.source_size AND log.source_mtime_ms = f.source_mtime_ms""")

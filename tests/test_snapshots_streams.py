@@ -87,6 +87,10 @@ def test_capped_export(spark, tmp_path):
         sinks.write_capped_csv(report.rows, str(tmp_path / "a"), sinks.CODE_EXPORT_COLUMNS, missing=gap)
     with pytest.raises(sinks.ExportRefused):
         sinks.write_capped_csv(report.rows, str(tmp_path / "b"), sinks.CODE_EXPORT_COLUMNS, gap.limit(0), cap=3)
+    with pytest.raises(sinks.ExportRefused):  # nothing to write, but incomplete
+        sinks.write_capped_csv(report.rows.where("attempts < 0"), str(tmp_path / "d"), sinks.CODE_EXPORT_COLUMNS, gap)
+    n = report.rows.count()
+    assert sinks.complete_only(report.rows, gap.limit(0), cap=n).count() == n
     sinks.write_capped_csv(
         certificates_report(records, params).rows, str(tmp_path / "c"), sinks.CERTIFICATE_EXPORT_COLUMNS
     )
