@@ -8,6 +8,8 @@ A window's fingerprint is the 64-bit majority (SimHash) of eight features, its p
 Fingerprints within ``RADIUS`` bits agree on at least one of RADIUS + 1 blocks, so equality on a block finds them all.
 Each candidate is then compared with the whole item at the place where the two line up and at the places up to a quarter of the
 item before and after it: 5-word shingles weighted by their letters, ``shared weight / total weight >= 0.75``.
+An item of 1 to 4 words is one shingle as a whole: one feature, which is its fingerprint, and similarity 1 or 0. Windows of its
+size at every word meet it by that fingerprint, then by their words.
 
 The index of benchmark windows is broadcast in slices of at most ``SLICE_WORDS`` words, whatever the benchmark's
 size; documents are never shuffled before a window has matched.
@@ -76,19 +78,36 @@ def _weight(shingles: Column) -> Column:
     return F.aggregate(shingles, F.lit(0).cast("long"), lambda acc, s: acc + F.length(s).cast("long"))
 
 
+def _whole(texts: DataFrame, items: DataFrame, sizes: list[int]) -> DataFrame:
+    """``doc_id, item_id, start_word`` of items too short for a shingle, at their first place."""
+    index = items.where(f"size(words) < {SHINGLE}").select("item_id", F.col("words").alias("own"), F.xxhash64("words").alias("own_print")).distinct()
+    piece = F.expr("slice(words, start + 1, m)")
+    placed = texts.withColumn("m", F.explode(F.array(*map(F.lit, sizes)))).where("size(words) >= m").withColumn("start", F.explode(F.expr("sequence(0, size(words) - m)")))
+    met = placed.withColumn("print", F.xxhash64(piece)).join(F.broadcast(index), (F.col("print") == F.col("own_print")) & (piece == F.col("own")))
+    return met.groupBy("doc_id", "item_id").agg(F.min("start").alias("start_word"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = LEAST_SIMILARITY, slice_words: int = SLICE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, item_id, start_word, similarity`` of every benchmark item found in a document, at its best place.
 
-    Null or empty texts hold nothing; items of fewer than 5 words have no shingle and are not searched. Repeated rows of a document give one row; repeated items one each id. A null id matches under
-    a null id. Empty tables give no rows.
+    Null or empty texts hold nothing, and items without words are in no text. Repeated rows of a document give one row; repeated items one each id. A null id matches under
+    a null id; different texts under one id are searched each. Other columns, whatever their names, stay out. Empty tables give no rows.
     """
-    items = benchmark.select("item_id", _words(F.col("text")).alias("words")).where(f"size(words) >= {SHINGLE}")
-    total, shorter = items.agg(F.sum(F.size("words")), F.count_if(F.size("words") < CLASSES[0][2])).first()
-    slices = max(1, -(-(total or 0) // slice_words))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), _words(F.col(text_col)).alias("words"))
-    found = []
+    return _found(texts, benchmark, similarity, slice_words)
+
+
+def _found(texts: DataFrame, benchmark: DataFrame, similarity: float = LEAST_SIMILARITY, slice_words: int = SLICE_WORDS) -> DataFrame:
+    """``leaks`` of rows ``doc_id`` (of any type), ``words``."""
+    items = benchmark.select("item_id", _words(F.col("text")).alias("words")).where("size(words) > 0")
+    size, least = F.size("words"), CLASSES[0][2]
+    total, shorter, short_sizes = items.agg(F.sum(size), F.count_if(size.between(SHINGLE, least - 1)), F.collect_set(F.when(size < SHINGLE, size))).first()
+    slices = max(1, -(-(total or 0) // slice_words))
+    found, whole = [], []
     for n in range(slices):
         part = items.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(slices)) == n)
+        if short_sizes:
+            whole.append(_whole(texts, part, sorted(short_sizes)))
         for pairs, stride, low, high in CLASSES if shorter else CLASSES[:1]:
             own = part.where(f"size(words) >= {low}" + (f" and size(words) < {high}" if high else ""))
             index = _with_block(_item_windows(own, pairs), "item_print").dropDuplicates(["item_id", "m", "block", "item_print", "offset"])
@@ -98,23 +117,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = LEAST_SIMIL
             met = met.withColumn("reach", F.expr("int(ceil(m / 4))")).withColumn("from_word", F.greatest(F.expr("start - offset - reach"), F.lit(0)))
             found.append(met.select("doc_id", "item_id", "m", "from_word", F.expr("slice(words, from_word + 1, start - offset + m + reach - from_word)").alias("around")))
     candidates = reduce(DataFrame.union, found).distinct()
-    wording = items.select(F.col("item_id").alias("known"), F.col("words").alias("item_words")).distinct()
+    # Few bytes, much work: a fixed number of partitions is not joined to a few by their size.
+    spread = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    candidates = candidates.repartition(spread, "doc_id", "item_id", "from_word")
+    wording = items.where(f"size(words) >= {SHINGLE}").select(F.col("item_id").alias("known"), F.col("words").alias("item_words")).distinct()
     both = candidates.join(wording, candidates.item_id.eqNullSafe(wording.known) & (F.size("item_words") == F.col("m"))).withColumn("b", _shingles("item_words"))
     # What the surroundings lack of the item, no place in them has.
     near = both.where(_weight(F.array_intersect(_shingles("around"), "b")) >= similarity * _weight(F.array_distinct("b")))
     places = near.withColumn("place", F.explode(F.expr("sequence(0, greatest(size(around) - m, 0))"))).withColumn("a", _shingles(F.expr("slice(around, place + 1, m)"))).withColumn("start_word", F.col("from_word") + F.col("place"))
     scored = places.withColumn("similarity", _weight(F.array_intersect("a", "b")) / _weight(F.array_union("a", "b"))).where(F.col("similarity") >= similarity)
     best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start_word")).alias("minus"))).alias("best"))
-    return best.select("doc_id", "item_id", (-F.col("best.minus")).alias("start_word"), F.col("best.similarity").alias("similarity"))
-
-
-def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that hold no benchmark item. A document without an id is judged by its text all the same."""
-    name = options.get("id_col", "doc_id")
-    bad = leaks(docs, benchmark, **options).select(F.col("doc_id").alias("_leaking")).distinct()
-    known = docs.where(F.col(name).isNotNull()).join(bad, F.col(name) == F.col("_leaking"), "left_anti")
-    nameless = docs.where(F.col(name).isNull())
-    text = options.get("text_col", "text")
-    own = nameless.withColumn(name, F.xxhash64(text))
-    bad_text = leaks(own, benchmark, **options).select(F.col("doc_id").alias("_leaking")).distinct()
-    return known.union(nameless.join(bad_text, F.xxhash64(text) == F.col("_leaking"), "left_anti"))
+    best = best.select("doc_id", "item_id", (-F.col("best.minus")).alias("start_word"), F.col("best.similarity").alias("similarity"))
+    return reduce(DataFrame.union, [best, *(w.withColumn("similarity", F.lit(1.0)) for w in whole)])
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents that hold no benchmark item. Each row is judged by its own text: also without an id, or when another text has the same id."""
+    row = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
+    bad = _found(docs.select(row.alias("doc_id"), _words(F.col(text_col)).alias("words")), benchmark, **options)
+    bad = bad.select(F.col("doc_id.id").alias("leaking_id"), F.col("doc_id.text").alias("leaking_text")).distinct()
+    same = docs[id_col].eqNullSafe(bad.leaking_id) & (F.xxhash64(docs[text_col]) == bad.leaking_text)
+    return docs.join(bad, same, "left_anti")

@@ -255,9 +255,9 @@ def near_duplicates(
     )
 
 
-def one_per_group(docs: DataFrame, **options) -> DataFrame:
-    """The documents whose id is their component's smallest; one row of an id that is repeated."""
-    kept = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    name = options.get("id_col", "doc_id")
-    ids = docs.where(F.col(name).isNotNull()).dropDuplicates([name])
-    return ids.join(kept, F.col(name) == F.col("_kept_id"), "left_semi").union(docs.where(F.col(name).isNull()))
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents whose id is their component's smallest; of rows with the same id and text one, of different texts under one id each. Rows without an id stay."""
+    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    # The join leaves the rows partitioned by id, which the second step needs as well.
+    one = docs.join(kept, docs[id_col] == kept.kept_id, "left_semi").dropDuplicates([id_col, text_col])
+    return one.union(docs.where(F.col(id_col).isNull()))

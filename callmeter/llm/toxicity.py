@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -131,3 +132,26 @@ def severity(docs: DataFrame, model: SeverityModel, reject_from: float = REJECT_
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grade), pa.array(grade >= reject_from)], names=["doc_id", "severity", "toxic"])
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, severity double, toxic boolean")
+
+
+def without_toxic(docs: DataFrame, model: SeverityModel, reject_from: float = REJECT_FROM, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose expected grade is below ``reject_from``.
+
+    Each row is judged by its own text, so rows without an id or with a repeated one are no special case, and nothing is shuffled.
+    A null text counts as empty and stays null.
+    """
+    arrow_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at, names = docs.columns.index(text_col), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch in batches:
+            texts = pa.RecordBatch.from_arrays([pc.fill_null(batch.column(at), ""), pa.array(np.arange(batch.num_rows))], names=["text", "row"])
+            for piece, data, offsets in pieces(iter([texts])):
+                stays = shared.value.expected(data, offsets, powers) < reject_from
+                rows = batch.slice(piece.column(1)[0].as_py(), piece.num_rows).filter(pa.array(stays))
+                if rows.num_rows:
+                    yield pa.RecordBatch.from_arrays(rows.columns, names=names)
+
+    return docs.mapInArrow(run, docs.schema)

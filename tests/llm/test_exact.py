@@ -285,6 +285,38 @@ def test_leaks_with_edits(spark):
     assert found == pytest.approx(wanted)
 
 
+def test_leaks_of_items_below_five_words(spark):
+    """Items of 0 to 4 words, some inside others or equal, against every place of every document; one slice and many."""
+    rng = random.Random(11)
+    documents = {d: [rng.choice("abc") for _ in range(rng.randint(0, 12))] for d in range(60)} | {60: "please answer forty two now".split(), 61: ["x", "y"] * 20_000}
+    items = {i: [rng.choice("abc") for _ in range(1 + i % 4)] for i in range(24)} | {30: "answer forty two".split(), 31: [], 32: ["y", "x"], 33: "forty two now please".split()}
+    wanted = {}
+    for i, words in items.items():
+        for d, text in documents.items():
+            places = [p for p in range(len(text) - len(words) + 1) if words and text[p : p + len(words)] == words]
+            if places:
+                wanted[d, i] = (places[0], 1.0)
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in documents.items()] + [(70, None)], "doc_id long, text string").withColumn("m", F.lit("x")).withColumn("words", F.lit(1))
+    bench = spark.createDataFrame([(i, ", ".join(w).upper()) for i, w in items.items()] + [(40, None)], "item_id long, text string")
+    for slice_words in (200_000, 5):
+        found = {(r.doc_id, r.item_id): (r.start_word, r.similarity) for r in decontaminate.leaks(docs, bench, slice_words=slice_words).collect()}
+        assert found == wanted
+    assert (60, 30) in wanted
+
+
+def test_rows_are_told_apart_by_id_and_text(spark):
+    """Two texts under one id, and rows without an id: each is judged by its own text."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(1, f"so {passage} there", 1), (1, "quite another text", 2), (None, passage, 3), (None, "harmless", 4), (None, None, 5), (2, "", 6)]
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, n int, leaking_id string, kept_id string")
+    bench = spark.createDataFrame([(7, passage)], "item_id long, text string")
+    clean = decontaminate.without_leaks(docs, bench)
+    assert clean.columns == docs.columns and sorted(r.n for r in clean.collect()) == [2, 4, 5, 6]
+    assert decontaminate.without_leaks(docs, bench.limit(0)).count() == 6 and decontaminate.without_leaks(docs.limit(0), bench).count() == 0
+    one = minhash.one_per_group(docs.union(docs))
+    assert one.columns == docs.columns and sorted(r.n for r in one.collect()) == [1, 2, 3, 3, 4, 4, 5, 5, 6]
+
+
 def test_empty_and_nameless(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     nameless = spark.createDataFrame([(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (7, None)], "doc_id long, text string")

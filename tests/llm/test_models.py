@@ -167,6 +167,21 @@ def small(spark):
     return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
 
 
+def test_toxic_rows_go_by_their_own_text(spark, small):
+    """Same verdict as the scores, for rows without an id and with a repeated one; other columns, nested and of any name, stay as they are."""
+    model = toxicity.fit_severity(small, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    toxic = {r.doc_id for r in toxicity.severity(small, model).where("toxic").collect()}
+    assert toxic
+    rows = small.withColumns({"n": F.col("doc_id"), "toxic": F.lit("x"), "severity": F.array("doc_id")}).withColumn("doc_id", F.when(F.col("n") % 2 == 0, F.lit(1)).cast("long"))
+    rows = rows.unionByName(rows.limit(1).withColumn("text", F.lit(None).cast("string")).withColumn("n", F.lit(-1).cast("long")))
+    left = toxicity.without_toxic(rows, model)
+    assert left.schema == rows.schema
+    found = left.collect()
+    assert sorted(r.n for r in found) == sorted({r.doc_id for r in small.collect()} - toxic | {-1})
+    assert [r.text for r in found if r.n == -1] == [None] and all(r.severity == [r.n] for r in found if r.n >= 0)
+    assert toxicity.without_toxic(rows.limit(0), model).count() == 0
+
+
 def test_stages(spark, small):
     sf = "/root/testdata/sf0.001"
     docs, columns = small, small.columns
