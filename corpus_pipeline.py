@@ -21,8 +21,7 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents of high expected severity. The model is fitted on the whole table's labelled rows."""
     model = toxicity.fit_severity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    bad = toxicity.severity(docs, model).where("toxic").select(F.col("doc_id").alias("_toxic")).distinct()
-    return docs.join(bad, docs.doc_id == F.col("_toxic"), "left_anti")
+    return toxicity.without_toxic(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
