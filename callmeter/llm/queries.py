@@ -34,6 +34,25 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_bytes(documents(spark, sf_dir))
 
 
+# Every 50-byte string with the smallest document it starts in; places seen before, joined to runs; what lies between the runs stays.
+ORACLE["op3_suffix_dedup"] = """
+WITH raw AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+starts AS (SELECT doc_id, b, unnest(generate_series(1, octet_length(b) - 49)) AS i FROM raw),
+strings AS (SELECT doc_id, i, b[i:i + 49] AS g FROM starts),
+lowest AS (SELECT g, min(doc_id) AS low FROM strings GROUP BY 1),
+seen AS (SELECT doc_id, i FROM strings JOIN lowest USING (g) WHERE low < doc_id),
+marked AS (SELECT *, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 50, true) AS fresh FROM seen),
+numbered AS (SELECT *, count(*) FILTER (fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
+runs AS (SELECT doc_id, run, min(i) AS a, max(i) + 49 AS z FROM numbered GROUP BY 1, 2),
+edges AS (SELECT doc_id, a, z FROM runs UNION ALL SELECT doc_id, octet_length(b) + 1, NULL FROM raw),
+kept AS (SELECT doc_id, a, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a, z) + 1, 1) AS since FROM edges),
+left_over AS (SELECT doc_id, string_agg(hex(b[since:a - 1]), '' ORDER BY a) AS h FROM kept JOIN raw USING (doc_id) WHERE since < a GROUP BY 1),
+sums AS (SELECT doc_id, sum(z - a + 1)::BIGINT AS n_removed, count(*) AS n_spans FROM runs GROUP BY 1)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(h, ''))) AS kept_sha256
+FROM raw LEFT JOIN sums USING (doc_id) LEFT JOIN left_over USING (doc_id)
+"""
+
+
 @_query
 def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses(documents(spark, sf_dir))
@@ -49,6 +68,23 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
 
 
+# Exact shingle sets, equal sets folded into one; shared shingles counted per pair; components by their closure.
+ORACLE["op6_minhash_near_dedup"] = r"""
+WITH RECURSIVE worded AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, list_sort(list_distinct(list_transform(generate_series(1, greatest(len(w) - 4, least(len(w), 1))), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM worded),
+folded AS (SELECT s, min(doc_id) AS rep, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+held AS (SELECT rep, n, unnest(s) AS shingle FROM folded),
+pairs AS (SELECT a.rep AS a, b.rep AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS shared FROM held a JOIN held b ON a.shingle = b.shingle AND a.rep < b.rep GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs WHERE 100 * shared >= 75 * (na + nb - shared)),
+steps AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT rep AS a, rep AS b FROM folded UNION SELECT r.a, s.b FROM reach r JOIN steps s ON r.b = s.a),
+lowest AS (SELECT a AS rep, min(b) AS component FROM reach GROUP BY 1)
+SELECT doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(component, doc_id) AS component_id, coalesce(component, doc_id) = doc_id AS kept
+FROM sets LEFT JOIN folded ON folded.s = sets.s LEFT JOIN lowest USING (rep)
+"""
+
+
 @_query
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
@@ -70,6 +106,20 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_words(documents(spark, sf_dir))
 
 
+# Every window of 13 words with the smallest document it starts in; words under a window seen before go.
+ORACLE["op10_substring_dedup"] = r"""
+WITH worded AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM worded),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM starts),
+lowest AS (SELECT g, min(doc_id) AS low FROM windows GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM windows JOIN lowest USING (g), (SELECT unnest(generate_series(0, 12)) AS k) WHERE low < doc_id),
+places AS (SELECT doc_id, unnest(generate_series(1, len(w))) AS i, unnest(w) AS word FROM worded),
+left_over AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM places ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM worded LEFT JOIN left_over USING (doc_id)
+"""
+
+
 @_query
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
