@@ -5,8 +5,12 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from callmeter.functions.parsing import best_effort_float, best_effort_timestamp
+from callmeter.plans import ingest
 from callmeter.runtime import small_methods
+from callmeter.sources import landing as src
 from callmeter.sources import star_records as star
+from callmeter.sources.commits import VersionedStore
 
 LIMIT = "spark.sql.codegen.hugeMethodLimit"
 
@@ -47,3 +51,30 @@ def test_the_limit_of_methods_is_put_back(spark, before):
         assert spark.conf.get(LIMIT) == outside
     finally:
         spark.conf.unset(LIMIT)
+
+
+def test_records_are_loaded_in_small_methods(spark, tmp_path, monkeypatch):
+    root, seen = str(tmp_path / "landing"), {}
+    star.write_hour_files(_records(spark, [1]), root)
+    replace_hours = VersionedStore.replace_hours
+
+    def noted(store, table, rows):
+        seen[table] = spark.conf.get(LIMIT)
+        replace_hours(store, table, rows)
+
+    monkeypatch.setattr(VersionedStore, "replace_hours", noted)
+    options = ingest.IngestOptions(lookback_days=None, min_age_seconds=0)
+    ingest.ingest_cycle(VersionedStore(spark, str(tmp_path / "store")), src.Landing(root, star.STAR_ENTITIES, src.HOUR_FOLDER), datetime(2100, 1, 1), options)
+    assert seen["records"] == "8000" and seen["media"] != "8000"
+
+
+def test_absent_cells_are_not_tried(spark, capsys):
+    cells = spark.createDataFrame([(t,) for t in (None, "", "  ", " 2.5 ", "nan", "x", "1704067200", "02 Jan 2024 10:00:00")], "t string")
+    read = cells.select("t", best_effort_float(F.col("t")).alias("f"), best_effort_timestamp(F.col("t")).alias("at"))
+    rows = {r["t"]: (r["f"], r["at"] is not None) for r in read.collect()}
+    assert rows == {None: (None, False), "": (None, False), "  ": (None, False), " 2.5 ": (2.5, False), "nan": (None, False), "x": (None, False),
+                    "1704067200": (None, True), "02 Jan 2024 10:00:00": (None, True)}
+    for parser in (best_effort_float, best_effort_timestamp):
+        cells.select(parser(F.col("t"))).explain("extended")
+        plan = capsys.readouterr().out.split("== Analyzed Logical Plan ==")[1].split("== Optimized")[0]
+        assert "= )" in plan
