@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 import pytest
 from files import HEADER, hour_file
+from pyspark.sql import functions as F
 
 from callmeter.plans import ingest, rollups
 from callmeter.plans.ingest import ingest_cycle
@@ -144,3 +145,45 @@ def test_many_headers_are_one_scan(place, spark):
     good = {r["callid"]: r for r in rows if not r["malformed"] and r["callid"]}
     assert len(good) == 20 and all(good[f"c{n}"]["term_cost"] == ("" if n % 3 == 0 else str(n)) for n in range(20))
     assert {r["orig_trunk_group_name"] for r in good.values()} == {'A, "B"'} and {r["sip_code"] for r in good.values()} == {"200"}
+
+
+def test_files_of_one_width_with_much_text_are_scanned_by_themselves(place, spark, monkeypatch):
+    landing, store = place
+    for n in range(6):
+        header = HEADER + [f"x{i}" for i in range(n % 3)]
+        rows = [{"callid": f"c{n}", "orig_trunk_group_name": '"A, ""B"""', **{f"x{i}": "9" for i in range(2)}}, {"callid": ""}]
+        hour_file(landing.root, "E0", H0 - timedelta(hours=n), rows, header=header, raw_lines=["1,2", ",".join(["7"] * 14)] if n < 4 else [], age_from=NOW)
+    files = src.with_headers(src.discover(spark, landing, NOW, 2))
+    together = sorted(src.read_cells(spark, files).collect())
+    for least, most, scans in ((1, 16, 3), (1, 1, 2)):
+        monkeypatch.setattr(src, "OWN_SCAN_BYTES", least)
+        monkeypatch.setattr(src, "MOST_SCANS", most)
+        cells = src.read_cells(spark, files)
+        assert cells._jdf.queryExecution().executedPlan().toString().count("FileScan csv") == scans
+        assert sorted(cells.collect()) == together
+
+
+def test_only_files_with_broken_lines_are_read_again(place, spark, monkeypatch):
+    landing, store = place
+    for n in range(4):
+        hour_file(landing.root, "E0", H0 - timedelta(hours=n), [{"callid": f"c{n}"}], raw_lines=["1,2"] if n == 2 else [], age_from=NOW)
+    read, read_cells = [], src.read_cells
+    monkeypatch.setattr(src, "read_cells", lambda spark, files: read.append(files.count()) or read_cells(spark, files))
+    ingest.backfill(store, landing, NOW, days=2)
+    assert read == [4, 1]
+    assert sorted(r["malformed_rows"] for r in store.manifest.latest.collect()) == [0, 0, 0, 1]
+
+
+def test_hours_of_a_folder_share_their_files(place, spark):
+    store = place[1]
+    at = F.timestamp_seconds(F.unix_timestamp(F.lit(H0.isoformat(" ")).cast("timestamp")) - F.col("id") * 3600)
+    schema = store.read("hits").schema
+    rows = spark.range(240).select("id", at.alias("hour"), F.lit("E0").alias("entity"), F.to_date(at).alias("file_date"), F.hour(at).alias("file_hh"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store.replace_hours("hits", rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    files = store.hits.inputFiles()
+    assert store.hits.count() == 240 and len(files) <= 2 * store.hits.select("file_date").distinct().count()
