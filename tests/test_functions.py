@@ -292,3 +292,24 @@ def test_top_rows_per_group_with_one_hot_group(spark):
         local.setdefault(r["g"], []).append((-r["x"], r["id"]))
     want = {(g, i) for g, rows in local.items() for _, i in sorted(rows)[:25]}
     assert {(r["g"], r["id"]) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("any_spelling", [False, True])
+def test_a_short_watchlist_goes_below_the_rollup(spark, capsys, any_spelling):
+    calls = spark.createDataFrame([("2001:DB8::1 ", 1), ("2001:db8:0::1", 2), ("203.0.113.9", 3), ("", 4), (None, 5), ("x", 6)], "term_media_ip string, n int")
+    watch = spark.createDataFrame([("2001:db8::1",), ("203.0.113.9",), (None,), ("",)], "termination_media_ip string")
+    rollup = calls.groupBy("term_media_ip").agg(F.sum("n").alias("n"))
+    watched = watchlist.watched_only(rollup, watch, any_spelling=any_spelling)
+    assert sorted(r["n"] for r in watched.collect()) == ([1, 2, 3, 4] if any_spelling else [3, 4])
+    watched.explain("extended")
+    plan = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0].splitlines()
+    assert next(i for i, line in enumerate(plan) if "Aggregate [term_media_ip" in line) < next(i for i, line in enumerate(plan) if "Join LeftSemi" in line)
+
+
+def test_a_long_watchlist_is_not_broadcast(spark, monkeypatch):
+    calls = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "term_media_ip string, n int")
+    watch = spark.createDataFrame([("a",), ("b",)], "termination_media_ip string")
+    for most in (1, 2):
+        monkeypatch.setattr(watchlist, "MOST_BROADCAST", most)
+        watched = watchlist.watched_only(calls, watch)
+        assert watched.count() == 2 and ("rightHint=(strategy=broadcast)" in watched._jdf.queryExecution().optimizedPlan().toString()) == (most == 2)
