@@ -22,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from callmeter.llm.text import LOWER, PIECE_BYTES, Powers, Words, arrow_batches, as_long, mix, pieces
+from callmeter.llm.text import LOWER, Powers, Words, arrow_batches, as_long, mix, pieces
 from callmeter.operators.topk import top_rows_per_group
 from callmeter.runtime import written
 
 LONGEST, LEAST, TOP = 5, 100, 2000
+#: Text bytes looked at together; their words, ids and entries take many times as much.
+PIECE_BYTES = 1 << 21
 #: Entries (40 bytes each) at which a container bursts, and at which a task's trie spills.
 BURST, MOST_ENTRIES = 1 << 15, 1 << 20
 #: The bitmap of frequent ids has 16 bits for each, within these bounds (32 MB at most; fuller ones only prune less).
@@ -129,7 +131,7 @@ def _slices(data: np.ndarray, offsets: np.ndarray, most: int) -> Iterator[tuple[
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, Words, np.ndarray, np.ndarray, np.ndarray]]:
     """Of runs of rows: languages, words, lower-cased bytes, word ids, and whether a word's successor is in the same piece of the text."""
     powers = Powers()
-    for batch, data, offsets in pieces(batches):
+    for batch, data, offsets in pieces(batches, most=PIECE_BYTES):
         langs = batch.column(0)
         salt = np.array([int.from_bytes(blake2b(x.encode(), digest_size=8).digest(), "little") for x in langs.to_pylist()], np.uint64)
         for part, own in _slices(data, offsets, PIECE_BYTES):

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +100,10 @@ def test_trie_spills_whole_subtrees(most):
         for e in run:
             got[int(e["prefix"]), int(e["last"])] += int(e["n"])
     assert got == wanted
+
+
+def test_words_are_worked_out_for_two_megabytes_at_a_time():
+    texts = ["some words, " * 20_000] * 20
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 20), pa.array(texts)], names=["lang", "text"])
+    sizes = [len(lower) for _, _, lower, _, _ in collocations._sequences([batch])]
+    assert sum(sizes) == sum(map(len, texts)) and max(sizes) <= 1 << 21
