@@ -78,3 +78,21 @@ def test_absent_cells_are_not_tried(spark, capsys):
         cells.select(parser(F.col("t"))).explain("extended")
         plan = capsys.readouterr().out.split("== Analyzed Logical Plan ==")[1].split("== Optimized")[0]
         assert "= )" in plan
+
+
+def test_a_record_meets_the_list_of_files_once(spark, tmp_path):
+    root, now = str(tmp_path / "landing"), datetime(2100, 1, 1)
+    star.write_hour_files(_records(spark, [1, 4]), root)
+    files = src.with_headers(src.discover(spark, src.Landing(root, star.STAR_ENTITIES, src.HOUR_FOLDER), now, None, 0))
+    listed = spark.createDataFrame(files.where("header_error IS NULL").collect(), files.schema)
+    typed = src.typed_records(src.read_cells(spark, listed), now)
+    assert typed._jdf.queryExecution().executedPlan().toString().count("HashJoin ") == 1
+    rows = {r["callid"]: r for r in typed.where("NOT malformed").collect()}
+    assert {(c, r["entity"], r["file_hour"]) for c, r in rows.items()} == {(f"c{h}", "E1", datetime(2024, 1, 2, h)) for h in (1, 4)}
+    assert all(r["file_path"] in {f["file_path"] for f in listed.collect()} and r["pdd"] == 9 and r["bad_cells"] == 0 for r in rows.values())
+
+
+def test_paths_have_one_spelling(spark):
+    paths = {"file:/a": "file:///a", "file:////a": "file:///a", "file:///a": "file:///a", "file:a": "file:a", "s3a://b/file:/a": "s3a://b/file:/a", None: None}
+    rows = spark.createDataFrame([(p,) for p in paths], "p string").select("p", src.plain_path(F.col("p")).alias("plain")).collect()
+    assert {r["p"]: r["plain"] for r in rows} == paths
