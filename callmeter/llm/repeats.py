@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -153,6 +154,19 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out(rows[:, send], repeated[send])
 
 
+def _window_keys(codes: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the ``width`` codes from each place in ``at``, all places in step."""
+    one, two = (np.zeros(len(at), np.uint64) for _ in range(2))
+    for j in range(width):
+        code = codes[at + j]
+        one += code * _U(pow(0x9E3779B97F4A7C15, j + 1, 2**64))
+        two += mix(code + _U(j))
+    return mix(one), mix(two)
+
+
+_CONTENT = pa.schema([(n, pa.int64()) for n in ("h", "f", "doc_id", "run")] + [("tokens", pa.binary())])
+
+
 def _contents(unit: Unit):
     """Tokens of the wanted fragments of a text; of hot minimizers, a hash pair for each window."""
 
@@ -160,28 +174,30 @@ def _contents(unit: Unit):
         powers = Powers()
         for batch, data, offsets in pieces(batches, most=PIECE):
             codes, first = unit.tokens(data, offsets, powers)
-            source, at = (codes, first) if unit.words else (data, offsets)
-            wanted = batch.column(2).to_pylist()
-            ids = batch.column(0).to_pylist()
-            columns: list[list] = [[] for _ in range(5)]
-            for i, (doc, runs) in enumerate(zip(ids, wanted, strict=True)):
-                for w in runs:
-                    start, n = w["run"] >> _RUN_BITS, w["run"] & ((1 << _RUN_BITS) - 1)
-                    a = int(at[i]) + start
-                    if w["hot"]:
-                        own = codes[a : a + n + unit.window - 1]
-                        one, two = (np.zeros(n, np.uint64) for _ in range(2))
-                        for j in range(unit.window):
-                            one += own[j : j + n] * _U(pow(0x9E3779B97F4A7C15, j + 1, 2**64))
-                            two += mix(own[j : j + n] + _U(j))
-                        for k, (x, y) in enumerate(zip(as_long(mix(one)).tolist(), as_long(mix(two)).tolist(), strict=True)):
-                            for c, v in zip(columns, (x, y, doc, (start + k) << _RUN_BITS | 1, None), strict=True):
-                                c.append(v)
-                    else:
-                        for c, v in zip(columns, (w["h"], 0, doc, w["run"], source[a : a + n + unit.window - 1].tobytes()), strict=True):
-                            c.append(v)
-            kinds = [pa.int64()] * 4 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["h", "f", "doc_id", "run", "tokens"])
+            source, row_at = (codes, first) if unit.words else (data, offsets)
+            runs = batch.column(2)
+            wanted = runs.flatten()
+            if not len(wanted):
+                continue
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(runs).to_numpy(zero_copy_only=False))
+            place, h = (wanted.field(n).to_numpy() for n in ("run", "h"))
+            hot = wanted.field("hot").to_numpy(zero_copy_only=False)
+            doc, start, n = batch.column(0).to_numpy()[row], place >> _RUN_BITS, place & ((1 << _RUN_BITS) - 1)
+            at = np.asarray(row_at, np.int64)[row] + start
+            cold = np.flatnonzero(~hot)
+            for i in range(0, len(cold), 1 << 14):
+                part = cold[i : i + (1 << 14)]
+                tokens = [source[a:b].tobytes() for a, b in zip(at[part].tolist(), (at[part] + n[part] + unit.window - 1).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (h[part], np.zeros(len(part), np.int64), doc[part], place[part])), pa.array(tokens, pa.binary())], schema=_CONTENT)
+            # Windows of all hot fragments are hashed together, a bounded number of them at a time; a long fragment may go over several turns.
+            many, crowded = n[hot], np.flatnonzero(hot)
+            ends = np.cumsum(many)
+            for i in range(0, int(ends[-1]) if len(ends) else 0, 1 << 16):
+                window = np.arange(i, min(i + (1 << 16), int(ends[-1])))
+                which = np.searchsorted(ends, window, side="right")
+                own, k = crowded[which], window - (ends[which] - many[which])
+                one, two = _window_keys(codes, at[own] + k, unit.window)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (as_long(one), as_long(two), doc[own], (start[own] + k) << _RUN_BITS | 1)), pa.nulls(len(own), pa.binary())], schema=_CONTENT)
 
     return run
 
@@ -193,12 +209,17 @@ def _in_blocks(repeats_in: Callable[[list[np.ndarray], np.ndarray], list[np.ndar
     def solved(rows: list[tuple]) -> pa.RecordBatch:
         rows.sort(key=lambda r: r[1])
         marks = repeats_in([np.frombuffer(r[3], kind) for r in rows], np.array([r[1] for r in rows], np.int64))
-        doc, run = [], []
-        for (_, d, place, _), mark in zip(rows, marks, strict=True):
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], mark.astype(np.int8), [0]])))
-            for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                doc.append(d)
-                run.append(((place >> _RUN_BITS) + a) << _RUN_BITS | (b - a))
+        # Runs of marked windows, of all fragments in one go: an unmarked place between two fragments keeps them apart.
+        sizes = np.array([len(m) + 1 for m in marks])
+        flat = np.zeros(int(sizes.sum()) + 1, np.int8)
+        begins = np.cumsum(sizes) - sizes + 1
+        for at, mark in zip(begins.tolist(), marks, strict=True):
+            flat[at : at + len(mark)] = mark
+        edge = np.flatnonzero(np.diff(flat)) + 1
+        a, b = edge[::2], edge[1::2]
+        own = np.searchsorted(begins, a, side="right") - 1
+        doc = np.array([r[1] for r in rows], np.int64)[own]
+        run = (((np.array([r[2] for r in rows], np.int64)[own] >> _RUN_BITS) + a - begins[own]) << _RUN_BITS) | (b - a)
         return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(run, pa.int64())], names=["doc_id", "run"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -84,6 +84,35 @@ def test_long_runs_are_cut(monkeypatch):
     assert len(set(f[(rows == 0) & (n == 15)].tolist())) == 1
 
 
+def test_windows_of_all_hot_fragments_are_hashed_in_step(monkeypatch):
+    import pyarrow as pa
+
+    rng, mixed, mix = np.random.default_rng(3), [], repeats.mix
+    texts = ["".join(rng.choice(list("abcd"), 300)) for _ in range(20)]
+    runs = [[{"run": (s << repeats._RUN_BITS) | 3 + s % 5, "h": s, "hot": s % 9 != 0} for s in range(0, 280, 7)] for _ in texts]
+    wanted = pa.array(runs, pa.list_(pa.struct([("run", pa.int64()), ("h", pa.int64()), ("hot", pa.bool_())])))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100, 120), pa.int64()), pa.array(texts), wanted], names=["doc_id", "text", "wanted"])
+    monkeypatch.setattr(repeats, "mix", lambda x: mixed.append(len(x)) or mix(x))
+    unit = repeats.Unit(10, 4, words=False)
+    got = sorted((r["h"], r["f"], r["doc_id"], r["run"], r["tokens"]) for b in repeats._contents(unit)(iter([batch.slice(0, 7), batch.slice(7)])) for r in b.to_pylist())
+    assert len(mixed) <= 2 * (unit.window + 2)  # a batch, not a fragment, each
+    want, u = [], np.uint64
+    for doc, text, rs in zip(range(100, 120), texts, runs, strict=True):
+        codes = repeats._BYTE_CODE[np.frombuffer(text.encode(), np.uint8)]
+        for r in rs:
+            start, n = r["run"] >> repeats._RUN_BITS, r["run"] & ((1 << repeats._RUN_BITS) - 1)
+            if not r["hot"]:
+                want.append((r["h"], 0, doc, r["run"], text[start : start + n + 9].encode()))
+                continue
+            for k in range(start, start + n):
+                one = two = np.zeros(1, u)
+                for j in range(10):
+                    one = one + codes[k + j : k + j + 1] * u(pow(0x9E3779B97F4A7C15, j + 1, 2**64))
+                    two = two + mix(codes[k + j : k + j + 1] + u(j))
+                want.append((int(repeats.as_long(mix(one))[0]), int(repeats.as_long(mix(two))[0]), doc, (k << repeats._RUN_BITS) | 1, None))
+    assert [r[:4] for r in got] == sorted(r[:4] for r in want) and {r for r in got if r[4]} == {r for r in want if r[4]}
+
+
 def test_near_duplicates(docs, texts):
     sets = {}
     for doc, text in texts.items():
