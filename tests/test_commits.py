@@ -187,3 +187,19 @@ def test_hours_of_a_folder_share_their_files(place, spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
     files = store.hits.inputFiles()
     assert store.hits.count() == 240 and len(files) <= 2 * store.hits.select("file_date").distinct().count()
+
+
+def test_a_change_counts_what_it_wrote_once(place, spark):
+    landing, store = place
+    hour_file(landing.root, "E0", H0, [{"callid": "a"}, {"callid": "b"}], age_from=NOW)
+    hour_file(landing.root, "E1", H0 + timedelta(hours=2), [{"callid": "z"}], age_from=NOW)
+    ingest_cycle(store, landing, NOW)
+    copy = VersionedStore(spark, f"{store.root}-copy")
+    with copy.change() as to:
+        to.replace_hours("records", store.records)
+        lines = to._written("records")
+        assert "FileScan" not in lines._jdf.queryExecution().executedPlan().toString()
+    zone = F.date_trunc("hour", "event_time")
+    want = store.records.groupBy("entity", "file_date", "file_hh").agg(F.count("*"), F.min(zone), F.max(zone)).collect()
+    got = copy.live("records").select("entity", "file_date", "file_hh", "rows", "first_event", "last_event").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 2

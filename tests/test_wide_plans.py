@@ -92,6 +92,28 @@ def test_a_record_meets_the_list_of_files_once(spark, tmp_path):
     assert all(r["file_path"] in {f["file_path"] for f in listed.collect()} and r["pdd"] == 9 and r["bad_cells"] == 0 for r in rows.values())
 
 
+def test_no_record_has_its_path_made_plain(spark, tmp_path, capsys):
+    root, now = str(tmp_path / "land+ed"), datetime(2100, 1, 1)
+    star.write_hour_files(_records(spark, [1, 4, 5]), root)
+    files = src.with_headers(src.discover(spark, src.Landing(root, star.STAR_ENTITIES, src.HOUR_FOLDER), now, None, 0))
+    listed = spark.createDataFrame(files.where("header_error IS NULL").collect(), files.schema)
+    cells = src.read_cells(spark, listed)
+    cells.explain("extended")
+    assert "_metadata" not in capsys.readouterr().out.split("== Optimized Logical Plan ==")[1]
+    found = {(r["file_path"], r["malformed"]) for r in cells.collect()}
+    paths = {r["file_hour"].hour: r["file_path"] for r in listed.collect()}
+    assert found == {(paths[h], False) for h in (1, 4, 5)} | {(paths[5], True)}
+
+
+def test_what_a_cell_says_is_one_number(spark):
+    cells = spark.createDataFrame([("f", "E1", datetime(2024, 1, 1, 5), 1, 2, False)], "file_path string, entity string, file_hour timestamp, source_size long, source_mtime_ms long, malformed boolean")
+    texts = {n: "" for n in src.SOURCE_COLUMNS} | {"sip_code": "x", "pdd": "7", "orig_cost": " ", "call_end_time": "never", "mos_max": "nan", "call_start_time": "2024-01-01 05:00:00"}
+    typed = src.typed_records(cells.withColumns({n: F.lit(t) for n, t in texts.items()}), datetime(2100, 1, 1))
+    assert "said_" not in typed._jdf.queryExecution().analyzed().toString()
+    row = typed.first()
+    assert (row["bad_cells"], row["sip_code"], row["pdd"], row["orig_cost"], row["call_end_time"], row["mos_max"]) == (3, 0, 7, 0.0, None, 0.0)
+
+
 def test_paths_have_one_spelling(spark):
     paths = {"file:/a": "file:///a", "file:////a": "file:///a", "file:///a": "file:///a", "file:a": "file:a", "s3a://b/file:/a": "s3a://b/file:/a", None: None}
     rows = spark.createDataFrame([(p,) for p in paths], "p string").select("p", src.plain_path(F.col("p")).alias("plain")).collect()
