@@ -50,25 +50,18 @@ class SeverityModel:
         return (1 / (1 + np.exp(self.thresholds[:, None] - margin))).sum(axis=0)
 
 
-def _fit(texts: list[bytes], grades: np.ndarray, slots: int) -> SeverityModel:
-    """Adaptive gradient descent over shuffled blocks; deterministic for given rows."""
+def _fit(cols: np.ndarray, sizes: np.ndarray, grades: np.ndarray, slots: int) -> SeverityModel:
+    """Adaptive gradient descent over shuffled blocks; deterministic for given rows, each ``sizes`` slots of ``cols``."""
     levels = int(grades.max()) if len(grades) else 0
     if not levels:
         return SeverityModel(np.zeros(slots, np.float32), np.full(1, 30.0))
-    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    powers, rows, cols = Powers(), [], []
-    for i in range(0, len(texts), 256):  # features in blocks, so that scratch arrays stay small
-        part = offsets[i : i + 257] - offsets[i]
-        r, c = _slots(np.frombuffer(b"".join(texts[i : i + 256]), np.uint8), part, powers, slots)
-        rows.append(r + i)
-        cols.append(c)
-    rows, cols = np.concatenate(rows), np.concatenate(cols)
+    rows = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     # Only words that go with a grade far beyond chance: others would be learnt by heart.
     held, share = np.bincount(cols, minlength=slots), (grades > 0).mean()
     beyond = (np.bincount(cols, (grades > 0)[rows], slots) - held * share) / np.sqrt(np.maximum(held * share * (1 - share), 1e-9))
     telling = ((held >= LEAST_ROWS) & (np.abs(beyond) >= LEAST_DEVIATION))[cols]
-    rows, cols = rows[telling], cols[telling]
-    first = np.searchsorted(rows, np.arange(len(texts) + 1))
+    rows, cols = rows[telling], cols[telling].astype(np.int64)
+    first = np.searchsorted(rows, np.arange(len(grades) + 1))
     above = (grades[:, None] > np.arange(levels)).astype(np.float64)
     share = np.clip(above.mean(axis=0), 1e-6, 1 - 1e-6)
     theta = np.log(1 / share - 1)
@@ -76,7 +69,7 @@ def _fit(texts: list[bytes], grades: np.ndarray, slots: int) -> SeverityModel:
     balance = np.where(grades > 0, 0.5 / max((grades > 0).mean(), 1e-6), 0.5 / max((grades == 0).mean(), 1e-6))
     random = np.random.default_rng(7)
     for _ in range(EPOCHS):
-        order = random.permutation(len(texts))
+        order = random.permutation(len(grades))
         for i in range(0, len(order), 64):
             block = order[i : i + 64]
             sizes = first[block + 1] - first[block]
@@ -109,11 +102,21 @@ def fit_severity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, slots
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
     texts = id_and_text(docs).where("doc_id is not null")
-    # A bounded sample of rows, so it may go to the driver.
-    found = texts.join(F.broadcast(graded), "doc_id").select("doc_id", F.encode("text", "utf-8").alias("text"), "grade").toArrow()
-    order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")
-    raw = found.column("text").to_pylist()
-    return _fit([bytes(raw[i]) for i in order], found.column("grade").to_numpy()[order].astype(np.int64), slots)
+    sample = texts.join(F.broadcast(graded), "doc_id").select("doc_id", "text", "grade")
+    arrow_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch, data, offsets in pieces(batches):
+            own, held = _slots(data, offsets, powers, slots)
+            bounds = pa.array(np.searchsorted(own, np.arange(batch.num_rows + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.ListArray.from_arrays(bounds, pa.array(held, pa.int32()))], names=["doc_id", "grade", "slots"])
+
+    # Features of a bounded sample of rows, so they may go to the driver; texts stay with the tasks.
+    found = sample.mapInArrow(run, "doc_id long, grade int, slots array<int>").toArrow()
+    found = found.take(np.argsort(found.column("doc_id").to_numpy(), kind="stable"))
+    lists = found.column("slots").combine_chunks()
+    return _fit(lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy(zero_copy_only=False), found.column("grade").to_numpy().astype(np.int64), slots)
 
 
 def severity(docs: DataFrame, model: SeverityModel, reject_from: float = REJECT_FROM) -> DataFrame:

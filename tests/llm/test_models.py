@@ -30,6 +30,17 @@ def test_toxicity_on_held_out_rows(spark):
     assert right / rows > 0.93 and alarms / clean < 0.03
 
 
+def test_fitting_takes_no_text_to_the_driver(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, f"Plain words {i % 7}" + (" vile" if i % 3 == 0 else ""), i % 2) for i in range(200)], "doc_id long, text string, q int")
+    labels = rows.select("doc_id", F.col("q").alias("quality"), (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    taken, to_arrow = [], type(rows).toArrow
+    monkeypatch.setattr(type(rows), "toArrow", lambda df: taken.append(dict(df.dtypes)) or to_arrow(df))
+    model = toxicity.fit_severity(rows.repartition(3), labels)
+    assert taken == [{"doc_id": "bigint", "grade": "int", "slots": "array<int>"}]
+    grade = {r.doc_id: r.severity for r in toxicity.severity(rows, model).collect()}
+    assert len(grade) == 200 and min(g for i, g in grade.items() if i % 3 == 0) > max(g for i, g in grade.items() if i % 3)
+
+
 def test_toxicity_of_odd_rows(spark):
     rows = spark.createDataFrame([(1, None, 0), (1, "", 1), (None, "x " * 50_000, None)], "doc_id long, text string, toxic long")
     labels = spark.createDataFrame([(1, None, 0), (9, 1, None)], "doc_id long, quality int, toxic int")
