@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callmeter.llm.text import Powers, Words, _BYTE_CODE, arrow_batches, as_long, id_and_text, mix, pieces
-from callmeter.runtime import written
+from callmeter.runtime import written, written_for
 
 PIECE = 2 << 20
 BLOCK_TOKENS = 1 << 18
@@ -255,10 +255,13 @@ def covered(docs: DataFrame, unit: Unit, repeats_in: Callable, render: Callable,
     look = settled.where("not repeated")
     crowded = look.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("h").withColumn("hot", F.lit(True))
     wanted = look.join(crowded, "h", "left").groupBy("doc_id").agg(F.collect_list(F.struct("run", "h", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted"))
-    contents = written(unlike.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_contents(unit), "h long, f long, doc_id long, run long, tokens binary"), "repeats")
-    from_index = contents.where("tokens is not null").repartition("h").sortWithinPartitions("h", "doc_id").mapInArrow(_in_blocks(repeats_in, unit), "doc_id long, run long")
-    one_by_one = contents.where("tokens is null").select("h", "f", "doc_id", "run").repartition("h", "f").sortWithinPartitions("h", "f", "doc_id").mapInArrow(_settle, _SETTLED).where("repeated")
-    runs = settled.where("repeated").select("doc_id", "run").union(from_index).union(one_by_one.select("doc_id", "run"))
+    cut = unlike.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_contents(unit), "h long, f long, doc_id long, run long, tokens binary")
+    # One after the other, and gone from the disks before the texts are shuffled again.
+    with written_for(cut, "repeats") as contents:
+        from_index = contents.where("tokens is not null").repartition("h").sortWithinPartitions("h", "doc_id").mapInArrow(_in_blocks(repeats_in, unit), "doc_id long, run long")
+        one_by_one = contents.where("tokens is null").select("h", "f", "doc_id", "run").repartition("h", "f").sortWithinPartitions("h", "f", "doc_id").mapInArrow(_settle, _SETTLED).where("repeated")
+        found = [written(part.select("doc_id", "run"), "repeats") for part in (from_index, one_by_one)]
+    runs = settled.where("repeated").select("doc_id", "run").union(found[0]).union(found[1])
     gathered = runs.groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
     whole = texts.where("doc_id is not null").join(gathered, "doc_id", "left").join(copies.withColumn("copy", F.lit(True)), "doc_id", "left")
     nameless = texts.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<long>").alias("runs"), F.lit(None).cast("boolean").alias("copy"))
